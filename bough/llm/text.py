@@ -21,9 +21,13 @@ BLOCK = 1 << 18
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
 
-_WORD = np.zeros(256, bool)
+#: Classes of bytes: 0 separates, runs of another class are words.
+WORDS = np.zeros(256, np.uint8)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _WORD[_a:_b] = True
+    WORDS[_a:_b] = 1
+#: The same, with runs of punctuation as words too.
+TOKENS = WORDS.copy()
+TOKENS[33:127][WORDS[33:127] == 0] = 2
 _FOLD = np.arange(1, 257, dtype=np.uint64)
 _FOLD[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -63,10 +67,9 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return offs - offs[0], raw
 
 
-def blocks(offs: np.ndarray, raw: np.ndarray, inside: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def blocks(offs: np.ndarray, raw: np.ndarray, classes: np.ndarray = WORDS) -> Iterator[tuple[int, int]]:
     """Byte ranges of about BLOCK bytes that end where a row or a word ends."""
     a, n = 0, len(raw)
-    table = _WORD if inside is None else inside
     while a < n:
         b = min(n, a + BLOCK)
         if b < n:
@@ -74,31 +77,33 @@ def blocks(offs: np.ndarray, raw: np.ndarray, inside: np.ndarray | None = None)
             if row > a:
                 b = int(row)
             else:  # inside one long text: back to a separator, on to one if there is none
-                gap = np.flatnonzero(~table[raw[a:b]])
+                gap = np.flatnonzero(classes[raw[a:b]] == 0)
                 if len(gap):
                     b = a + int(gap[-1]) + 1
                 else:
                     end = int(offs[np.searchsorted(offs, b, "left")])
-                    gap = np.flatnonzero(~table[raw[b:end]])
+                    gap = np.flatnonzero(classes[raw[b:end]] == 0)
                     b = b + int(gap[0]) if len(gap) else end
         yield a, b
         a = b
 
 
-def words(column: pa.Array, spans: bool = False) -> tuple[np.ndarray, ...]:
+def words(column: pa.Array, spans: bool = False, classes: np.ndarray = WORDS) -> tuple[np.ndarray, ...]:
     """Row number (int32) and hash (uint64) of every word, in order; with spans also its first byte and the byte after its last, from the start of the column."""
     offs, raw = buffers(column)
     rows, hashes, starts, ends = [], [], [], []
-    for a, b in blocks(offs, raw):
+    for a, b in blocks(offs, raw, classes):
         part = raw[a:b]
-        word = _WORD[part]
-        first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1]
-        last[:-1] &= ~word[1:]
+        kind = classes[part]
+        first = kind > 0
+        last = first.copy()
+        change = kind[1:] != kind[:-1]
+        first[1:] &= change
+        last[:-1] &= change
         cut = offs[np.searchsorted(offs, a, "left") : np.searchsorted(offs, b, "left")] - a
-        first[cut] = word[cut]
+        first[cut] = kind[cut] > 0
         cut = cut[cut > 0] - 1
-        last[cut] = word[cut]
+        last[cut] = kind[cut] > 0
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_FOLD[part] * _power(_MUL, len(part) + 1)[: len(part)], out=total[1:])
