@@ -1,0 +1 @@
+"""Analytics over immutable, content-addressed snapshots, on Spark."""

@@ -1,10 +1,8 @@
-"""Queries over the driver's tables, by name, and their SQL."""
+"""All queries over the driver's tables, with the SQL they are checked against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bough.plans.oracles import ORACLES
+from bough.plans.queries import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
