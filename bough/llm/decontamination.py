@@ -170,17 +170,26 @@ def svd(table: DataFrame, idf: np.ndarray, rank: int = RANK, over: int = 16) ->
     return feature, (m @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
 
 
-def lcs(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, by bit-parallel dynamic programming."""
-    places: dict[int, int] = {}
+def places(a: list[int]) -> dict[int, int]:
+    """Of each word of a, the bits of its positions."""
+    out: dict[int, int] = {}
     for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+        out[x] = out.get(x, 0) | (1 << i)
+    return out
+
+
+def common(at: dict[int, int], size: int, b: list[int]) -> int:
+    """Length of the longest common subsequence of the ``size`` words with these places and of b, by bit-parallel dynamic programming."""
+    full = (1 << size) - 1
     v = full
     for y in b:
-        if u := v & places.get(y, 0):
+        if u := v & at.get(y, 0):
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return size - v.bit_count()
+
+
+def lcs(a: list[int], b: list[int]) -> int:
+    return common(places(a), len(a), b)
 
 
 @dataclass
@@ -198,7 +207,11 @@ class Space:
         self.at[self.feature] = np.arange(len(self.feature))
         self.square = self.idf.astype(np.float32) ** 2
         self.inside = np.where(self.at >= 0, self.square, np.float32(0))
-        self.lists = [x.tolist() for x in self.words]
+        lists = [x.tolist() for x in self.words]
+        self.sizes = [len(x) for x in lists]
+        answers = [x[-max(1, len(x) // 4) :] for x in lists]
+        self.answer_sizes = [len(x) for x in answers]
+        self.places, self.answer_places = [places(x) for x in lists], [places(x) for x in answers]
         rows = np.repeat(np.arange(len(self.words)), [len(x) for x in self.words])
         self.coordinates = self.fold(rows, _feature(np.concatenate(self.words).view(np.uint64)) if self.words else np.zeros(0, np.int64), len(self.words))
 
@@ -223,8 +236,9 @@ class Space:
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         size = np.diff(np.append(begin, len(row)))
         per = -(-size // BLOCK)
-        start = np.repeat(begin, per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * BLOCK
-        end = np.minimum(start + 2 * BLOCK, np.repeat(begin + size, per))
+        first, last = np.repeat(begin, per), np.repeat(begin + size, per)
+        start = first + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * BLOCK
+        end = np.minimum(start + 2 * BLOCK, last)
         whole, part = (np.add.reduceat(x[f], start) for x in (self.square, self.inside))
         joined = np.flatnonzero(row[start][1:] == row[start][:-1])
         for x in (whole, part):
@@ -238,17 +252,18 @@ class Space:
             at = np.repeat(start[now], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             cosine = self.fold(np.repeat(np.arange(len(now)), length), f[at], len(now)) @ self.coordinates.T
             for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                words = self.lists[p]
-                r = int(row[start[now[w]]])
-                lo = max(int(np.searchsorted(row, r, "left")), int(start[now[w]]) - len(words))
-                hi = min(int(np.searchsorted(row, r, "right")), int(end[now[w]]) + len(words))
-                around = h[lo:hi].view(np.int64).tolist()
-                share = lcs(words, around) / len(words)
+                w_, n = now[w], self.sizes[p]
+                around = h[max(first[w_], start[w_] - n) : min(last[w_], end[w_] + n)].view(np.int64).tolist()
+                at_p = self.places[p]
+                around = [x for x in around if x in at_p]  # other words play no part in a common subsequence
+                if len(around) < LCS * n:
+                    continue
+                share = common(at_p, n, around) / n
                 if share < LCS:
                     continue
-                answer = words[-max(1, len(words) // 4) :]
-                answered = lcs(answer, around) / len(answer)
+                answered = common(self.answer_places[p], self.answer_sizes[p], around) / self.answer_sizes[p]
                 if answered >= LCS or share >= SURE:
+                    r = int(row[start[w_]])
                     key, found = (r, self.items[p]), (float(cosine[w, p]), share, answered)
                     if key not in out or found[1:] > out[key][1:]:
                         out[key] = found
