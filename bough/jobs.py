@@ -1,4 +1,10 @@
-"""Queries in the background: bounded in number, awaited, cancelled by Spark's job tags."""
+"""Queries in the background: bounded in number, awaited, cancelled.
+
+A timeout or a cancellation settles a job at once for whoever awaits it, and asks
+Spark to cancel the job group its thread runs under. That request is best effort: a
+query whose jobs Spark doesn't count to the group goes on until it is done, and its
+result is dropped; until then it holds its worker.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +28,7 @@ class Job:
         self._spark, self.tag = spark, tag
         self._future: Future = Future()
         self._cancelled = False
+        self._lock = threading.Lock()
 
     def await_(self, timeout: float | None = None) -> Any:
         """Its result. A job that isn't done in time goes on; ``cancel`` ends it."""
@@ -41,7 +48,19 @@ class Job:
     def cancel(self) -> None:
         self._cancelled = True
         if not self._future.cancel():
-            self._spark.sparkContext.cancelJobsWithTag(self.tag)
+            self._settle(EngineError("cancelled"))
+            self._spark.sparkContext.cancelJobGroup(self.tag)
+
+    def _settle(self, outcome: Any) -> bool:
+        """Set the result or the error, if there is none yet."""
+        with self._lock:
+            if self._future.done():
+                return False
+            if isinstance(outcome, BaseException):
+                self._future.set_exception(outcome)
+            else:
+                self._future.set_result(outcome)
+            return True
 
     def status(self) -> str:
         if not self._future.done():
@@ -70,31 +89,32 @@ class Runtime:
             self._owners[owner] = self._owners.get(owner, 0) + 1
             self._counts["submitted"] += 1
         job = Job(self._spark, f"bough-{uuid.uuid4().hex}")
-        late = threading.Event()
+
+        def expire() -> None:
+            if job._settle(EngineError("timeout", f"over {timeout_ms} ms")):
+                self._spark.sparkContext.cancelJobGroup(job.tag)
 
         def run() -> None:
             timer = None
-            outcome = "completed"
+            outcome = "cancelled"
             try:
                 if not job._future.set_running_or_notify_cancel():
-                    outcome = "cancelled"
                     return
                 sc = self._spark.sparkContext
-                sc.addJobTag(job.tag)
+                sc.setJobGroup(job.tag, "bough", True)
                 if timeout_ms is not None:
-                    timer = threading.Timer(timeout_ms / 1000, lambda: (late.set(), sc.cancelJobsWithTag(job.tag)))
+                    timer = threading.Timer(timeout_ms / 1000, expire)
                     timer.daemon = True
                     timer.start()
                 try:
-                    result = query()
-                    if late.is_set():
-                        raise EngineError("timeout", f"over {timeout_ms} ms")
-                    job._future.set_result(result)
+                    outcome = "completed" if job._settle(query()) else "failed"
                 except BaseException as e:
-                    outcome = "cancelled" if job._cancelled else "failed"
-                    job._future.set_exception(EngineError("timeout", f"over {timeout_ms} ms") if late.is_set() and not isinstance(e, EngineError) else e)
+                    job._settle(e)
+                    outcome = "failed"
                 finally:
-                    sc.removeJobTag(job.tag)
+                    sc.setLocalProperty("spark.jobGroup.id", None)
+                if job._cancelled:
+                    outcome = "cancelled"
             finally:
                 if timer:
                     timer.cancel()
