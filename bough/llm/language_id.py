@@ -163,7 +163,9 @@ def pooled(p: Parameters, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fitted(docs: DataFrame, sample: int, steps: int) -> tuple[list[str], Parameters | None]:
     """The languages and the network, from the labelled rows of least hashed doc_id."""
     known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (F.length(docs["text"]) > 0)).select(F.xxhash64(docs["doc_id"].cast("long")).alias("k"), docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"))
-    got = known.orderBy("k", "lang", "text").limit(sample).toArrow()
+    # which ones is settled on the hashes alone, so that no task gathers texts
+    last = known.select("k").orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    got = known.where(F.col("k") <= F.lit(last)).toArrow().sort_by([("k", "ascending"), ("lang", "ascending"), ("text", "ascending")]).slice(0, sample)
     names = sorted(set(got["lang"].to_pylist()))
     if not names:
         return [], None
