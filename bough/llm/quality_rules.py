@@ -130,6 +130,7 @@ def score(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules, weighed together, hold for good."""
-    table, share = fit(_voted(docs.select("text")).select("votes.*"))
+    voted = spill(_voted(docs))  # a filter pushed below the projection would compute every measure once for each use
+    table, share = fit(voted.select("votes.*"))
     good = posterior(table, share, {k: F.col("votes")[k] for k in NAMES}) >= KEEP
-    return _voted(docs).where(good).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return voted.where(good).select(*(F.col("row")[c].alias(c) for c in docs.columns))
