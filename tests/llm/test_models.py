@@ -1,5 +1,6 @@
 """Language identification, LM scores, PII."""
 
+import math
 import random
 
 import numpy as np
@@ -102,6 +103,23 @@ def test_scores_tell_text_from_noise(spark):
     assert lm_score.score(docs, labels.limit(0)).count() == 100
 
 
+def test_scores_rest_on_the_whole_reference(spark):
+    """Every longest match counts, in whatever shard it lies, but for the document's own text; rows of one text score alike."""
+    dice = random.Random(4)
+    say = lambda n: " ".join("abcd"[dice.randrange(4)] + str(dice.randrange(3)) for _ in range(n))
+    good = [say(dice.randrange(1, 14)) for _ in range(25)]
+    texts = good + good[:5] + [good[7] + " " + good[3]] * 2 + [say(30) for _ in range(10)] + ["nowhere"]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(27)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (60, 1 << 20):  # many shards and one give the same
+        got = {r["doc_id"]: r for r in lm_score.score(docs, labels, shard=size, group=500).collect()}
+        for i, t in enumerate(texts):
+            rest = [x.split() for x in texts[:27] if x != t]
+            c = slow_phrases(rest, t.split())
+            assert got[i]["phrases"] == c, (i, t)
+            assert math.isclose(got[i]["cross_entropy"], c * math.log2(sum(map(len, rest))) / len(t.split()))
+
+
 def test_scores_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (6, 1, 0), (None, 1, 0), (7, 1, None)], "doc_id long, quality int, toxic int")
     got = lm_score.score(odd, labels).collect()
