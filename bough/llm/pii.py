@@ -4,7 +4,10 @@ Candidate spans (tokens with an @, runs of digits and their separators, addresse
 four numbers, long tokens of letters and digits) are voted on by labelers: by regular
 expressions, by gazetteers (top-level domains, issuer prefixes of cards, reserved
 networks) and by context (words before the span, what it is joined to). A labeler
-says private (1), not private (-1) or abstains (0). Expectation-maximisation over how
+says private (1), not private (-1) or abstains (0). A run of digits that isn't shaped
+like a card or a phone number as a whole gives the shaped numbers within it, chosen so
+that they don't overlap and cover most of its digits, valid cards first; numbers that
+stand next to numbers are found so. A run without such is one candidate. Expectation-maximisation over how
 often each pattern of votes occurs, counted over all spans of all documents,
 estimates the labelers' reliabilities; the posteriors are the soft labels with which
 a logistic regression over the spans' own features is trained (counted by signature of
@@ -20,6 +23,7 @@ rows give no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,16 @@ CANDIDATE = re.compile(
     r"(?P<email>[^\s@<>\"'(),;:]+@[^\s@<>\"'(),;:]+)"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]))"
     r"|(?P<secret>(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Za-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2})"
-    r"|(?P<number>(?<![\w.])\+?\(?\d(?:[ ().-]{0,3}\d){6,18}(?![\d]))"
 )
+_NUMBER = re.compile(r"(?<![\w.])\+?\(?\d(?:[ ().-]{0,3}\d){6,18}(?![\d])")
+#: Numbers next to each other, at whatever length.
+_RUN = re.compile(r"(?<![\w.])\+?\(?\d(?:[ ().-]{0,3}\d){6,}")
 KINDS = ("email", "ip", "secret", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{8,15}")
 _CARD = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}")
+_PHONE_PART = re.compile(rf"(?<![\d+])(?:{_PHONE.pattern})(?!\d)")
+_CARD_PART = re.compile(rf"(?<![\d+])(?<!\d\.)(?:{_CARD.pattern})(?!\d)")
 _DATE = re.compile(r"(?:1[89]|20)\d\d[-. /](?:0?[1-9]|1[0-2])[-. /](?:0?[1-9]|[12]\d|3[01])\b.*|(?:0?[1-9]|[12]\d|3[01])[-. /](?:0?[1-9]|1[0-2])[-. /](?:1[89]|20)\d\d\b.*")
 _HEX = re.compile(r"[0-9a-f]{32,}|[A-Za-z0-9+/_-]{32,}={0,2}")
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl be ch at pl ru cn jp kr in br au ca us eu se no dk fi ie pt cz gr hu tr il za mx ar cl nz me tv app dev ai cloud".split())
@@ -57,9 +65,45 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def candidate(m: re.Match, text: str) -> tuple[int, int, str, str, tuple[int, ...], tuple[int, ...]]:
-    """(start, end, kind, value, votes, features) of a match."""
-    kind, value, start, end = m.lastgroup, m.group(), m.start(), m.end()
+def numbers(text: str, begin: int, stop: int) -> list[tuple[int, int]]:
+    """Spans of the candidate numbers of a run of digits and their separators."""
+    run = text[begin:stop]
+    if _CARD.fullmatch(run) or _PHONE.fullmatch(run):
+        return [(begin, stop)]
+    parts = {m.span() for k in range(begin, stop) if text[k] in "+(0123456789" for shape in (_CARD_PART, _PHONE_PART) if (m := shape.match(text, k, stop))}
+    parts = sorted(parts, key=lambda x: (x[1], x[0]))
+    best, link, ends = [(0, 0, 0)], [(0, False)], [b for _, b in parts]  # over the first parts by their end: digits in valid cards, digits, parts (fewer is better); where the choice goes on, and whether the part is in it
+    for n, (a, b) in enumerate(parts):
+        digits = re.sub(r"\D", "", text[a:b])
+        valid = len(digits) if _CARD.fullmatch(text[a:b]) and ISSUERS.match(digits) and luhn(digits) else 0
+        k = bisect_right(ends, a, 0, n)
+        now = (best[k][0] + valid, best[k][1] + len(digits), best[k][2] - 1)
+        use = now > best[n]
+        best.append(now if use else best[n])
+        link.append((k, True) if use else (n, False))
+    out, n = [], len(parts)
+    while n:
+        if link[n][1]:
+            out.append(parts[n - 1])
+        n = link[n][0]
+    return out[::-1] or [m.span() for m in _NUMBER.finditer(text, begin, stop)]
+
+
+def spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all candidates, in order; numbers are looked for between the others."""
+    out, at = [], 0
+    for m in [*CANDIDATE.finditer(text), None]:
+        for run in _RUN.finditer(text, at, m.start() if m else len(text)):
+            out += [(a, b, "number") for a, b in numbers(text, *run.span())]
+        if m:
+            out.append((*m.span(), m.lastgroup))
+            at = m.end()
+    return out
+
+
+def candidate(start: int, end: int, kind: str, text: str) -> tuple[int, int, str, str, tuple[int, ...], tuple[int, ...]]:
+    """(start, end, kind, value, votes, features) of a span."""
+    value = text[start:end]
     digits = re.sub(r"\D", "", value)
     if kind == "email":
         cut = value.rstrip(".!?*#$%&|")
@@ -114,9 +158,9 @@ def candidates(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, out = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for m in CANDIDATE.finditer(text):
+                for span in spans(text):
                     ids.append(i)
-                    out.append(candidate(m, text))
+                    out.append(candidate(*span, text))
             if out:
                 a, b, kind, value, votes, features = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(

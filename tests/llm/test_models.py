@@ -150,3 +150,30 @@ def test_pii(spark, odd, none):
     text = dict(rows)
     assert all(text[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert pii.find(none).count() == 0 and pii.find(odd).count() >= 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("card 4111111111111111 42 apples", ["4111111111111111"]),
+        ("12 4111111111111111", ["4111111111111111"]),
+        ("7 4111 1111 1111 1111 42", ["4111 1111 1111 1111"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("call +1 (136) 555-7479. 24 hours", ["+1 (136) 555-7479"]),
+        ("555-123-4567 555-765-4321", ["555-123-4567", "555-765-4321"]),
+        ("555-123-4567 555-765-4321 4111111111111111 (555) 222-3333", ["555-123-4567", "555-765-4321", "4111111111111111", "(555) 222-3333"]),
+        ("12 10.20.30.40 and 555-123-4567 99bob@mail.com", ["10.20.30.40", "555-123-4567", "99bob@mail.com"]),
+        ("rate 0.4111111111111111 12", ["0.4111111111111111 12"]),
+        ("978-3-16-148410-0", ["978-3-16-148410-0"]),
+    ],
+)
+def test_numbers_next_to_numbers(text, want):
+    assert [text[a:b] for a, b, _ in pii.spans(text)] == want
+
+
+def test_numbers_next_to_numbers_are_reported(spark):
+    dice = random.Random(9)
+    plain = [(i, f"words here call +1 (555) {dice.randrange(100, 999)}-{dice.randrange(1000, 9999)} or pay card 4111 1111 1111 1111 now") for i in range(60)]
+    beside = [(100, "words card 4111111111111111 42 apples"), (101, "then call +1 (136) 555-7479. 24 hours"), (102, "tel +1 (555) 123-4567 +1 (555) 765-4321 both")]
+    got = {(r["doc_id"], r["value"]) for r in pii.find(spark.createDataFrame(plain + beside, "doc_id long, text string")).where("doc_id >= 100").collect()}
+    assert got == {(100, "4111111111111111"), (101, "+1 (136) 555-7479"), (102, "+1 (555) 123-4567"), (102, "+1 (555) 765-4321")}
