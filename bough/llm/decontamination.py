@@ -7,10 +7,12 @@ range finder, Gram matrices summed over partitions, at most ``RANK`` dimensions)
 gives the latent space. Every window of 32 words of every document (starting 16
 apart) is folded in, and its cosine with each passage decides the candidates.
 
-With this weighting a window's squared norm is the sum of its words' squared idf, and
-its projection can't be longer than its part within the passages' vocabulary. So a
-window whose share of squared weight in that vocabulary is under ``SUPPORT`` is
-dropped before it is folded in, which loses no candidate of that support.
+A window can have a candidate only if it holds a word of the passages, and if the words
+around it hold as many of the passages' words as the shortest passage must share with
+them (``LCS`` of its size). Other windows are dropped before they are folded in, which
+loses nothing. How the window's weight divides between the passages' vocabulary and
+other words plays no part, so items that many documents quote, whose words weigh
+little, are found like others.
 
 A candidate counts if the longest common subsequence of the passage and the words
 around the window has ``LCS`` (0.5) of the passage's words and as much of its answer,
@@ -41,7 +43,7 @@ from bough.llm import text as T
 
 BITS, BLOCK = 18, 16
 PASSAGE, RANK, SPACE_WORDS = 64, 256, 1 << 15
-SUPPORT, COSINE, LCS, SURE = 0.2, 0.4, 0.5, 0.8
+COSINE, LCS, SURE = 0.4, 0.5, 0.8
 
 
 def _feature(h: np.ndarray) -> np.ndarray:
@@ -205,10 +207,9 @@ class Space:
     def __post_init__(self) -> None:
         self.at = np.full(1 << BITS, -1, np.int32)
         self.at[self.feature] = np.arange(len(self.feature))
-        self.square = self.idf.astype(np.float32) ** 2
-        self.inside = np.where(self.at >= 0, self.square, np.float32(0))
         lists = [x.tolist() for x in self.words]
         self.sizes = [len(x) for x in lists]
+        self.least, self.most = LCS * min(self.sizes, default=0), max(self.sizes, default=0)
         answers = [x[-max(1, len(x) // 4) :] for x in lists]
         self.answer_sizes = [len(x) for x in answers]
         self.places, self.answer_places = [places(x) for x in lists], [places(x) for x in answers]
@@ -239,13 +240,9 @@ class Space:
         first, last = np.repeat(begin, per), np.repeat(begin + size, per)
         start = first + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * BLOCK
         end = np.minimum(start + 2 * BLOCK, last)
-        whole, part = (np.add.reduceat(x[f], start) for x in (self.square, self.inside))
-        joined = np.flatnonzero(row[start][1:] == row[start][:-1])
-        for x in (whole, part):
-            one = x.copy()
-            one[joined] += x[joined + 1]
-            x[:] = one
-        use = np.flatnonzero(part >= SUPPORT * whole)
+        held = np.concatenate([[0], np.cumsum(self.at[f] >= 0)])
+        around = held[np.minimum(last, end + self.most)] - held[np.maximum(first, start - self.most)]
+        use = np.flatnonzero((held[end] > held[start]) & (around >= self.least))
         for i in range(0, len(use), 4096):
             now = use[i : i + 4096]
             length = end[now] - start[now]

@@ -52,6 +52,23 @@ def test_finds_passages_and_nothing_else(spark):
     assert {r["doc_id"] for r in decontamination.clean(docs, benchmark).collect()} == {i for i, _ in rows} - {i for i, _ in planted}
 
 
+def test_short_items_that_many_documents_quote(spark):
+    """An item's words weigh little where many documents hold it; among rare words it is found all the same."""
+    for share in (5, 10, 20):
+        dice = random.Random(share)
+        items = [(0, " ".join(f"s{i}" for i in range(15)))] + [(k, " ".join(f"b{dice.randrange(2000)}" for _ in range(40))) for k in range(1, 20)]
+        rows, planted = [], set()
+        for i in range(400):
+            words = [f"r{dice.randrange(10**6)}" for _ in range(dice.randrange(60, 120))]
+            if i % 100 < share:
+                at = dice.randrange(len(words))
+                words[at:at] = items[0][1].split()
+                planted.add((i, 0))
+            rows.append((i, " ".join(words)))
+        docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, benchmark).collect()} == planted
+
+
 def test_svd_against_numpy(spark):
     items, rows, _ = bench_docs()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
