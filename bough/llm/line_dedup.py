@@ -2,7 +2,9 @@
 
 Of all lines of the corpus that are alike, trimmed of blanks at both ends, the first
 stays, in order of (doc_id, number of the line); the others are taken out. Lines of
-fewer than ``LEAST`` characters are left alone: they repeat by chance.
+fewer than ``least`` characters are left alone: in ``report`` those under ``LEAST``, as in its SQL; in
+``dedup``, the pipeline's stage, none but blank ones, so that copies made up of short
+lines go as well.
 
 ``LineStore`` keeps the state in tables sharded by the line's 128-bit hash: exact
 reference counts (key, refs, owner), the references themselves (key, doc_id, line),
@@ -46,7 +48,7 @@ def _trimmed(line: Column) -> Column:
 def occurrences(docs: DataFrame, shards: int, least: int) -> DataFrame:
     """(shard, hi, lo, doc_id, line): every line long enough of the documents that have an id."""
     lines = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), F.posexplode(F.split(docs["text"], "\n")).alias("line", "said"))
-    long = lines.select("doc_id", "line", _trimmed(F.col("said")).alias("said")).where(F.length("said") >= least)
+    long = lines.select("doc_id", "line", _trimmed(F.col("said")).alias("said")).where((F.length("said") >= least) & ((F.length("said") >= LEAST) | F.col("said").rlike(r"\S")))  # short lines of other blanks aren't lines to compare
     keyed = long.select(F.xxhash64("said").alias("hi"), F.xxhash64(F.lit(7), F.col("said")).alias("lo"), "doc_id", "line")
     return keyed.select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), "hi", "lo", "doc_id", "line").distinct()
 
@@ -205,11 +207,11 @@ def report(docs: DataFrame, shards: int = SHARDS, least: int = LEAST) -> DataFra
     return store.render(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("kept").alias("text"), F.col("n_removed").cast("long").alias("n_removed"))
 
 
-def dedup(docs: DataFrame, shards: int = SHARDS, least: int = LEAST) -> DataFrame:
-    """docs without repeated lines; n_chars, if there is such a column, is the new text's length."""
+def dedup(docs: DataFrame, shards: int = SHARDS, least: int = 1) -> DataFrame:
+    """docs without repeated lines, short ones too; n_chars, if there is such a column, is the new text's length."""
     store = LineStore(docs.sparkSession, shards=shards, least=least)
     store.insert(docs)
-    out = store.render(docs).where("n_removed = 0 or length(trim(translate(kept, '\n', ''))) > 0")
+    out = store.render(docs).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
     column = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*(column.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 

@@ -87,3 +87,9 @@ def test_odd_rows(odd, none):
     kept = line_dedup.dedup(odd)
     assert kept.columns == odd.columns and {r[0] for r in kept.where("row <> 'r' or n_chars <> length(text)").collect()} <= {1}
     assert kept.where("doc_id = 5").count() == 0 and kept.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_stage_takes_out_short_lines(spark):
+    rows = [(1, "Les.\r\n\r\na line that is long\r\n\r\nend"), (2, "a line that is long\r\n\r\nLes.\r"), (3, "ab\ncd\n\n"), (4, "cd\nab"), (5, "cd\nnew\n \nend")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 3: rows[2][1], 5: "new\n "}
