@@ -31,7 +31,9 @@ _FIRST = Window.unboundedPreceding
 
 
 def _digest(seed: str) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("row.source"), F.lit("")), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.coalesce(F.col("row.text"), F.lit(""))))
+    """Of what settles a row: null and empty differ, and so do fields that run together differently."""
+    source, text = F.col("row.source"), F.col("row.text")
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.concat(F.length(source).cast("string"), F.lit(":"), source), F.lit("-")), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("t"), text), F.lit("-"))))
 
 
 def _rows(docs: DataFrame, seed: str) -> DataFrame:
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, seed: str = "mix", **parameters: object) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) AS tokens,
-         md5('mix|' || coalesce(source, '') || '|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS digest
+         md5('mix|' || coalesce(length(source) || ':' || source, '-') || '|' || coalesce(doc_id::VARCHAR, '-') || '|' || coalesce('t' || text, '-')) AS digest
   FROM documents),
 t AS (
   SELECT *, (sum(tokens) OVER (PARTITION BY source ORDER BY digest))::DOUBLE AS finish_time FROM d),

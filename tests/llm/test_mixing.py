@@ -9,7 +9,7 @@ def expected(rows, weights, budget=None, fraction=0.5, seed="mix"):
     n = lambda t: len((t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")) - (t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ").count("")
     sources = {}
     for i, t, s in rows:
-        d = hashlib.md5("|".join([seed, s or "", "" if i is None else str(i), t or ""]).encode()).hexdigest()
+        d = hashlib.md5("|".join([seed, "-" if s is None else f"{len(s)}:{s}", "-" if i is None else str(i), "-" if t is None else "t" + t]).encode()).hexdigest()
         sources.setdefault(s, []).append((d, i, n(t)))
     line = []
     for s, docs in sources.items():
@@ -50,3 +50,10 @@ def test_odd_rows(odd, none):
     times = [r[0] for r in whole.select("finish_time").collect()]
     assert times == sorted(times)
     assert {r["doc_id"] for r in mixing.mix(odd, weights={"b": 0.0, None: 0.0}, fraction=1.0).collect()} == {1, 2, 5, 6, 8}
+
+
+def test_null_and_empty_sources_are_two(make):
+    rows = make([(1, "a b c", "en", None), (1, "a b c", "en", ""), (2, None, "en", ""), (2, "", "en", "")])
+    kept = mixing.mix(rows, weights={None: 0.0}, fraction=1.0).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in kept) == [(1, ""), (2, ""), (2, "")]
+    assert mixing.queue(rows, fraction=1.0).select("digest").distinct().count() == 4
