@@ -71,7 +71,10 @@ class Repository:
 
     def read(self, oid: bytes, max_bytes: int | None = None, limits: Limits | None = None) -> tuple[str, bytes]:
         """(kind, data), whole or not at all."""
-        most = min(max_bytes or (1 << 62), (limits or Limits()).max_object_bytes)
+        if max_bytes is not None and max_bytes < 0:
+            raise EngineError("invalid_argument", "max_bytes can't be negative")
+        most = (limits or Limits()).max_object_bytes
+        most = most if max_bytes is None else min(max_bytes, most)
         if self.header(oid)[1] > most:
             raise EngineError("object_too_large", "the object exceeds the ceiling")
         row = R.checked(self.objects.where(F.col("oid") == F.lit(oid))).first()
@@ -223,6 +226,12 @@ class Snapshot:
         """The commits that change a path against their first parents, in chronological order; at an addition a rename goes on under the old path."""
         if refused:
             raise EngineError("invalid_argument", f"not for a history: {sorted(refused)}")
+        rows = self._history(path, follow_renames)
+        table = self.repository.spark.createDataFrame([(i, bytearray(c), p, a) for i, (p, c, a) in enumerate(rows)], "ordinal long, commit binary, path string, action string")
+        return paging.page(table, ["ordinal"], "history", self.commit_oid, {"path": path, "follow": follow_renames}, limit, cursor)
+
+    def _history(self, path: str, follow_renames: bool = True) -> list[tuple]:
+        """(path, commit, action) of the whole history."""
         if not path:
             raise EngineError("invalid_path", "the root has no history")
         ranks = {bytes(r["oid"]): r["ordinal"] for r in graph.log(self._timed(), self.repository.edges, self.commit_oid, "time").collect()}
@@ -240,9 +249,7 @@ class Snapshot:
             row = D.renames(D.summary(old.files, new.files), old.files, new.files).where((F.col("status") == "renamed") & (F.col("new_path") == F.lit(p.encode()))).first()
             return bytes(row["old_path"]).decode() if row else None
 
-        rows = history.follow(of, source, path)
-        table = self.repository.spark.createDataFrame([(i, bytearray(c), p, a) for i, (p, c, a) in enumerate(rows)], "ordinal long, commit binary, path string, action string")
-        return paging.page(table, ["ordinal"], "history", self.commit_oid, {"path": path, "follow": follow_renames}, limit, cursor)
+        return history.follow(of, source, path)
 
     def blame(self, path: str, lines: tuple[int, int] | None = None, follow_renames: bool = True) -> list[Any]:
         """Runs of lines with their origins, boundary flags and commits, in order of lines."""
@@ -251,7 +258,7 @@ class Snapshot:
             raise EngineError("invalid_argument", f"path_kind:{kind}")
         names = {path}
         if follow_renames:
-            names |= {row["path"] for row in self.history(path).items}
+            names |= {path_ for path_, _, _ in self._history(path)}
         states = self._states(sorted(names))
         # a commit that has several of the names counts with the latest one
         rank = F.element_at(F.create_map(*[x for i, n in enumerate([path, *sorted(names - {path})]) for x in (F.lit(n), F.lit(i))]), F.col("path"))

@@ -71,19 +71,24 @@ def read_many(objects: DataFrame, wanted: DataFrame, max_total_bytes: int | None
 
 
 def layered(layers: list[DataFrame], key: str = "oid") -> DataFrame:
-    """The first layer's row for every key, with ``layer``, its number from 0; rows of a layer whose ``error`` isn't null fail the query."""
+    """The first layer's row for every key, with ``layer``, its number from 0.
+
+    A row whose ``error`` isn't null fails the query if it is the first layer's: layers
+    behind a hit aren't consulted, so their errors don't count.
+    """
     if not layers:
         raise EngineError("invalid_argument", "there must be a layer")
     union: DataFrame | None = None
     for i, layer in enumerate(layers):
-        if "error" in layer.columns:
-            message = F.concat(F.lit(f"backend_error: layer {i}: "), F.col("error"))
-            layer = layer.withColumn(key, F.when(F.col("error").isNotNull(), F.raise_error(message).cast(layer.schema[key].dataType)).otherwise(F.col(key))).drop("error")
+        if "error" not in layer.columns:
+            layer = layer.withColumn("error", F.lit(None).cast("string"))
         layer = layer.withColumn("layer", F.lit(i))
         union = layer if union is None else union.unionByName(layer)
-    rest = [c for c in union.columns if c != key]
-    best = union.groupBy(key).agg(F.min_by(F.struct(*rest), "layer").alias("best"))
-    return best.select(key, *(F.col("best")[c].alias(c) for c in rest))
+    rest = [c for c in union.columns if c not in (key, "error")]
+    best = union.groupBy(key).agg(F.min_by(F.struct(*rest, "error"), "layer").alias("best"))
+    message = F.concat(F.lit("backend_error: layer "), F.col("best.layer").cast("string"), F.lit(": "), F.col("best.error"))
+    checked = F.when(F.col("best.error").isNotNull(), F.raise_error(message).cast(union.schema[key].dataType)).otherwise(F.col(key))
+    return best.select(checked.alias(key), *(F.col("best")[c].alias(c) for c in rest))
 
 
 def verified(objects: DataFrame, algorithm: str = "sha1") -> Column:

@@ -29,20 +29,18 @@ def history(states: DataFrame, edges: DataFrame) -> DataFrame:
     return changed.unionByName(gone.select(F.col("child").alias("commit"), F.col("p").alias("path"), F.lit("deleted").alias("action"), null("oid"), null("mode")))
 
 
-def follow(history_of, renamed_from, path, most: int = 1000) -> list[tuple]:
+def follow(history_of, renamed_from, path) -> list[tuple]:
     """(path, commit, action) along renames, newest first: history_of(path, below) gives a path's history below a commit in log order, renamed_from(commit, path) the old path or None."""
     if not path:
         raise EngineError("invalid_path", "the root has no history")
     out, below = [], None
-    while path is not None and len(out) < most:
+    while path is not None:
         source = None
         for commit, action in history_of(path, below):
             out.append((path, commit, action))
             if action == "added" and (source := renamed_from(commit, path)) is not None:
                 below = commit
                 break
-            if len(out) == most:
-                return out
         path = source
     return out
 

@@ -1,4 +1,4 @@
-"""Content search: one row for each line with a hit, each distinct blob scanned once.
+"""Content search: one row for each line with a hit, in one pass over the files without a shuffle.
 
 Offsets and caps count bytes; lines are worked on as chars, one character a byte, so
 that the JVM's expressions do all of it within generated code. Regular expressions
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +24,40 @@ MODES = ("literal", "regex")
 
 
 def check_regex(query: str) -> None:
-    """Refuse what a linear-time engine doesn't have."""
+    """Refuse what a linear-time engine doesn't have, and what the JVM's engine can't run in linear time and bounded depth: repeated groups that hold a choice or a repetition."""
     if len(query) > 1 << 20:
         raise EngineError("unsupported_regex", "the expression is too large")
+    try:
+        pc.match_substring_regex(pa.array([b""], pa.binary()), query.encode())  # a linear-time engine of its own: refuses look-around, back references and wrong syntax
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as error:
+        raise EngineError("unsupported_regex", str(error)) from None
     # look at it without escaped pairs and bracket classes
     bare = re.sub(r"\\\\", "", query)
-    if re.search(r"\\[1-9]|\\k<|\\G|\\Z|\\Q", bare):
+    if re.search(r"\\[1-9]|\\k<|\\G|\\Z|\\Q|\\C", bare):
         raise EngineError("unsupported_regex", "back references and anchors of a backtracking engine")
     bare = re.sub(r"\\.", "x", bare, flags=re.S)
+    if any(ord(c) > 127 for part in re.findall(r"\[\^?\]?[^\]]*\]", bare) for c in part):
+        raise EngineError("unsupported_regex", "a class of other than ASCII characters")
     bare = re.sub(r"\[\^?\]?[^\]]*\]", "x", bare)
-    if re.search(r"\(\?(=|!|<=|<!|>)", bare):
-        raise EngineError("unsupported_regex", "look-around and atomic groups")
     if re.search(r"[*+?}]\+", bare):
         raise EngineError("unsupported_regex", "possessive repetition")
+    inner: list[bool] = [False]  # of each open group whether it holds a choice or a repetition
+    at = 0
+    while at < len(bare):
+        c = bare[at]
+        if c == "(":
+            inner.append(False)
+            at += len(re.match(r"\((?:\?(?:P?<\w+>|[a-zA-Z-]*:?))?", bare[at:]).group())
+            continue
+        many = re.match(r"(?:[*+]|\{\d+,\d*\}|\{[1-9]\d+\}|\{[2-9]\})", bare[at + 1 :])
+        if c == ")" and len(inner) > 1:
+            held = inner.pop()
+            if many and held:
+                raise EngineError("unsupported_regex", "a repeated group that holds a choice or a repetition")
+            inner[-1] = inner[-1] or held or bool(many)
+        elif c == "|" or many or (c in "*+" and at):
+            inner[-1] = True
+        at += 1
 
 
 def pattern(query: str, mode: str = "literal", case_sensitive: bool = True) -> str:
@@ -45,6 +68,7 @@ def pattern(query: str, mode: str = "literal", case_sensitive: bool = True) -> s
     if mode == "literal":
         return flags + "".join(f"\\x{b:02x}" for b in query.encode())
     check_regex(query)
+    query = re.sub(r"(?<!\\)((?:\\\\)*)\(\?P?<\w+>", r"\1(?:", query)  # names of groups play no part
     return flags + "".join(c if ord(c) < 128 else "(?:" + "".join(f"\\x{b:02x}" for b in c.encode()) + ")" for c in query)
 
 
@@ -94,16 +118,17 @@ def search(files: DataFrame, query: str, mode: str = "literal", case_sensitive:
     expression = pattern(query, mode, case_sensitive)
     plain = mode == "literal" and case_sensitive
     chosen = searched(files, scope, pathspecs).where(F.col("size") <= max_object_bytes)
-    # each distinct blob once
-    blobs = chosen.select("oid", "data").dropDuplicates(["oid"])
     if binary == "skip":
-        blobs = blobs.where(~O.is_binary(F.col("data")))
+        chosen = chosen.where(~O.is_binary(F.col("data")))
     text = O.chars(F.col("data"))
     needle = query.encode().decode("latin-1")
     if query:
-        blobs = blobs.where(text.contains(needle) if plain else text.rlike("(?m)" + expression) if mode == "regex" else text.rlike(expression))
-    lines = blobs.select("oid", O.lines(text).alias("lines")).select("oid", "lines" if context_lines else F.lit(None).alias("lines"), F.posexplode("lines").alias("at", "said"))
-    hit = lines.where((F.lit(True) if not query else F.col("said").contains(needle)) if plain else F.col("said").rlike(expression))
+        chosen = chosen.where(text.contains(needle) if plain else text.rlike("(?m)" + expression) if mode == "regex" else text.rlike(expression))
+    # a file's hits are numbered within its row: no payload and no hit is shuffled
+    wanted = lambda x: (F.lit(True) if not query else x.contains(needle)) if plain else x.rlike(expression)
+    split = chosen.select("path", F.col("oid").alias("blob_oid"), O.lines(text).alias("lines"))
+    numbered = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("said"))), lambda x: wanted(x["said"]))
+    hit = split.select("path", "blob_oid", "lines" if context_lines else F.lit(None).alias("lines"), F.posexplode(numbered).alias("nth", "hit")).select("path", "blob_oid", "lines", "nth", "hit.at", "hit.said")
     if context_lines:
         cut = lambda first, n: F.transform(F.slice("lines", first, n), lambda x: O.octets(F.substring(x, 1, PREVIEW)))
         start = F.greatest(F.col("at") - context_lines, F.lit(0))
@@ -114,13 +139,8 @@ def search(files: DataFrame, query: str, mode: str = "literal", case_sensitive:
     first = F.instr("said", needle) - 1 if plain else _start(F.col("said"), query, "regex", expression)
     preview = F.substring("said", 1, PREVIEW)
     hits = (F.length("said") + 1) if not query and mode == "literal" else F.regexp_count("said", F.lit(expression))
-    rows = hit.select("oid", (F.col("at") + 1).alias("line"), first.cast("int").alias("column"), O.octets(preview).alias("preview"), (F.length("said") > PREVIEW).alias("preview_truncated"), spots.alias("submatches"), (hits if spans else F.lit(0)).alias("hits"), before.alias("context_before"), after.alias("context_after"))
-    paths = chosen.select("path", F.col("oid").alias("blob_oid"))
-    out = paths.join(rows, F.col("blob_oid") == F.col("oid"))
-    from pyspark.sql import Window
-
-    ordinal = F.row_number().over(Window.partitionBy("path").orderBy("line"))
-    return out.select("path", "blob_oid", ordinal.alias("ordinal"), "line", "column", "preview", "preview_truncated", "submatches", (F.col("hits") > F.size("submatches")).alias("submatches_truncated"), "context_before", "context_after")
+    rows = hit.select("path", "blob_oid", (F.col("nth") + 1).alias("ordinal"), (F.col("at") + 1).alias("line"), first.cast("int").alias("column"), O.octets(preview).alias("preview"), (F.length("said") > PREVIEW).alias("preview_truncated"), spots.alias("submatches"), (hits if spans else F.lit(0)).alias("hits"), before.alias("context_before"), after.alias("context_after"))
+    return rows.select("path", "blob_oid", "ordinal", "line", "column", "preview", "preview_truncated", "submatches", (F.col("hits") > F.size("submatches")).alias("submatches_truncated"), "context_before", "context_after")
 
 
 def searched(files: DataFrame, scope: str = "", pathspecs: list[str] | None = None) -> DataFrame:

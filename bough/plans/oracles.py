@@ -40,8 +40,11 @@ e AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent, 0 AS idx FROM order
       UNION ALL SELECT o_orderkey, o_orderkey // 3, 1 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 2 = 0 AND o_orderkey // 3 <> o_orderkey // 2)"""
 
 
+_LAST = "(SELECT max(o_orderkey) FROM orders)"
+
+
 def _reach(name: str, start: object, edges: str = "e") -> str:
-    return f"{name}(oid) AS (SELECT {start}::BIGINT UNION SELECT parent FROM {name} JOIN {edges} ON child = oid)"
+    return f"{name}(oid) AS (SELECT ({start})::BIGINT UNION SELECT parent FROM {name} JOIN {edges} ON child = oid)"
 
 
 _REFS = """
@@ -78,6 +81,8 @@ ORACLES: dict[str, str] = {
     "object_headers": f"WITH {_FILES} SELECT 'blob' AS kind, count(DISTINCT oid) AS objects, sum(size)::BIGINT AS bytes FROM f",
     "read_many": f"""WITH {_FILES}, o AS (SELECT DISTINCT oid, size FROM f)
         SELECT oid, true AS found, 'blob' AS kind, size FROM o UNION ALL SELECT DISTINCT sha1(o_orderkey::VARCHAR), false, NULL, NULL FROM orders""",
+    "verify_objects": f"""WITH {_FILES}, v AS (SELECT oid, CASE WHEN size % 17 = 0 THEN text || '!' ELSE text END AS t FROM f)
+        SELECT sha1('blob ' || strlen(t) || chr(0) || t) = oid AS intact, count(*) AS objects FROM v GROUP BY 1""",
     "layered_first_hit": """WITH l AS (SELECT doc_id AS oid, i AS layer, 'layer ' || i || ': ' || source AS payload FROM documents, range(3) t(i) WHERE doc_id % 3 = i OR doc_id % 10 = 0)
         SELECT oid, arg_min(payload, layer) AS payload, min(layer)::INT AS layer FROM l WHERE oid IS NOT NULL GROUP BY oid""",
     "search_literal": f"""WITH {_LINES}, h AS (SELECT oid, line, strlen(said[:position('the' IN said) - 1]) AS col FROM l WHERE contains(said, 'the'))
@@ -104,17 +109,17 @@ ORACLES: dict[str, str] = {
     "diff_line_stats": f"""WITH {_SIDES} SELECT status, old_path, new_path, (CASE status WHEN 'added' THEN {_lines("new")} WHEN 'deleted' THEN 0 WHEN 'modified' THEN CASE WHEN old = '' OR suffix(old, chr(10)) THEN 1 + (old = '' OR suffix(old, chr(10)))::INT ELSE 2 END END)::BIGINT AS additions,
         (CASE status WHEN 'added' THEN 0 WHEN 'deleted' THEN {_lines("old")} ELSE CASE WHEN old = '' OR suffix(old, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS deletions, false AS binary FROM c WHERE status IN ('modified', 'added', 'deleted')""",
     "ancestor_set": f"WITH RECURSIVE {_EDGES}, {_reach('a', '(SELECT max(o_orderkey) FROM orders)')} SELECT oid FROM a",
-    "is_ancestor": f"""WITH RECURSIVE {_EDGES}, q(ancestor, descendant) AS (VALUES (0::BIGINT, 1458::BIGINT), (1458, 1458), (3, 1458), (1458, 3), (364, 1458)),
+    "is_ancestor": f"""WITH RECURSIVE {_EDGES}, m AS (SELECT max(o_orderkey) AS z FROM orders), q(ancestor, descendant) AS (SELECT unnest([0, z, 3, z, z // 4, z // 5]), unnest([z, z, z, 3, z, z]) FROM m),
         a(s, oid) AS (SELECT DISTINCT descendant, descendant FROM q UNION SELECT s, parent FROM a JOIN e ON child = oid)
         SELECT ancestor, descendant, EXISTS (SELECT 1 FROM a WHERE s = descendant AND oid = ancestor) AS answer FROM q""",
-    "merge_bases": f"""WITH RECURSIVE {_EDGES}, {_reach("a", 1494)}, {_reach("b", 1490)}, c AS (SELECT oid FROM a INTERSECT SELECT oid FROM b)
+    "merge_bases": f"""WITH RECURSIVE {_EDGES}, {_reach("a", _LAST)}, {_reach("b", _LAST + " - 4")}, c AS (SELECT oid FROM a INTERSECT SELECT oid FROM b)
         SELECT oid, row_number() OVER (ORDER BY oid DESC)::INT AS ordinal FROM c WHERE oid NOT IN (SELECT parent FROM e JOIN c ON child = oid)""",
     "commit_child_counts": f"WITH {_EDGES} SELECT parent AS oid, count(*) AS children FROM e GROUP BY parent",
-    "topo_levels": f"WITH RECURSIVE {_EDGES}, w(oid, level) AS (SELECT 1458::BIGINT, 0 UNION SELECT parent, level + 1 FROM w JOIN e ON child = oid) SELECT oid, max(level)::INT AS level FROM w GROUP BY oid",
-    "log_chronological": f"WITH RECURSIVE {_EDGES}, {_reach('a', 1458)} {_log('a')}",
-    "log_monotone": f"WITH RECURSIVE {_EDGES}, {_reach('a', 1458)} {_log('a')}",
-    "log_since_until": f"WITH RECURSIVE {_EDGES}, y AS (SELECT * FROM e WHERE child >= 20), {_reach('a', 1458, 'y')} {_log('a', 'oid BETWEEN 20 AND 700')}",
-    "log_first_parent": f"WITH RECURSIVE {_EDGES}, y AS (SELECT * FROM e WHERE idx = 0), {_reach('a', 1458, 'y')} {_log('a')}",
+    "topo_levels": f"WITH RECURSIVE {_EDGES}, w(oid, level) AS (SELECT o_orderkey::BIGINT, 0 FROM orders WHERE o_orderkey NOT IN (SELECT parent FROM e) UNION SELECT parent, level + 1 FROM w JOIN e ON child = oid) SELECT oid, max(level)::INT AS level FROM w GROUP BY oid",
+    "log_chronological": f"WITH RECURSIVE {_EDGES}, {_reach('a', _LAST)} {_log('a')}",
+    "log_monotone": f"WITH RECURSIVE {_EDGES}, {_reach('a', _LAST)} {_log('a')}",
+    "log_since_until": f"WITH RECURSIVE {_EDGES}, y AS (SELECT * FROM e WHERE child >= 20), {_reach('a', _LAST, 'y')} {_log('a', 'oid BETWEEN 20 AND 700')}",
+    "log_first_parent": f"WITH RECURSIVE {_EDGES}, y AS (SELECT * FROM e WHERE idx = 0), {_reach('a', _LAST, 'y')} {_log('a')}",
     "path_history_first_parent": """WITH k AS (SELECT o_orderkey AS commit, j FROM orders, range(4) t(j)),
         s AS (SELECT commit, j, 'file-' || j AS path, (commit // (j + 2) % 7)::VARCHAR AS oid FROM k WHERE commit % (j + 3) <> 0),
         x AS (SELECT k.commit, k.j, n.oid AS now, o.oid AS was FROM k LEFT JOIN s n ON n.commit = k.commit AND n.j = k.j LEFT JOIN s o ON k.commit > 0 AND o.commit = k.commit // 2 AND o.j = k.j)

@@ -89,8 +89,8 @@ def layered_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many payloads have the id they are stored under; every 17th is damaged."""
-    f = tables.files(spark, sf_dir).withColumn("data", F.when(F.crc32("path") % 17 == 0, F.concat("data", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("data")))
+    """How many payloads have the id they are stored under; those whose size is a multiple of 17 are damaged."""
+    f = tables.files(spark, sf_dir).withColumn("data", F.when(F.col("size") % 17 == 0, F.concat("data", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("data")))
     return f.withColumn("oid", F.unhex("oid")).groupBy(files.verified(f).alias("intact")).agg(F.count(F.lit(1)).alias("objects"))
 
 
@@ -168,8 +168,9 @@ def diff_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # graph -------------------------------------------------------------------------------
 
-#: The start is the youngest of the first orders that every scale factor has.
-START, LEFT, RIGHT = 1458, 1494, 1490
+def _last(spark: SparkSession, sf_dir: str) -> int:
+    """The youngest commit, where the walks start."""
+    return tables.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
 
 
 def ancestor_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,11 +181,12 @@ def ancestor_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def is_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = tables.commit_edges(spark, sf_dir)
-    return spark.createDataFrame([(a, d, graph.is_ancestor(edges, a, d)) for a, d in ((0, START), (START, START), (3, START), (START, 3), (364, START))], "ancestor long, descendant long, answer boolean")
+    last = _last(spark, sf_dir)
+    return spark.createDataFrame([(a, d, graph.is_ancestor(edges, a, d)) for a, d in ((0, last), (last, last), (3, last), (last, 3), (last // 4, last), (last // 5, last))], "ancestor long, descendant long, answer boolean")
 
 
 def merge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_bases(tables.commit_edges(spark, sf_dir), LEFT, RIGHT).select("oid", "ordinal")
+    return graph.merge_bases(tables.commit_edges(spark, sf_dir), _last(spark, sf_dir), _last(spark, sf_dir) - 4).select("oid", "ordinal")
 
 
 def commit_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,31 +194,34 @@ def commit_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.levels(tables.commit_edges(spark, sf_dir), spark.createDataFrame([(START,)], "oid long"))
+    """Levels below all tips, the commits without children."""
+    edges = tables.commit_edges(spark, sf_dir)
+    tips = tables.commits(spark, sf_dir).select("oid").join(edges, F.col("oid") == F.col("parent"), "left_anti")
+    return graph.levels(edges, tips)
 
 
 def log_chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), START, "t_mono")
+    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), _last(spark, sf_dir), "t_mono")
 
 
 def log_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.log_monotone(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), START, "t_mono")
+    return graph.log_monotone(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), _last(spark, sf_dir), "t_mono")
 
 
 def log_since_until(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), START, "t_mono", since_=20, until=700)
+    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), _last(spark, sf_dir), "t_mono", since_=20, until=700)
 
 
 def log_first_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), START, "t_mono", first_parent=True)
+    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), _last(spark, sf_dir), "t_mono", first_parent=True)
 
 
 def log_topological(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), START, "t_skew", how="topological")
+    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), _last(spark, sf_dir), "t_skew", how="topological")
 
 
 def log_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), START, "t_skew", how="date")
+    return graph.log(tables.commits(spark, sf_dir), tables.commit_edges(spark, sf_dir), _last(spark, sf_dir), "t_skew", how="date")
 
 
 # history and blame ---------------------------------------------------------------------

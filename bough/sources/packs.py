@@ -330,10 +330,21 @@ def publish_packs(objects: DataFrame, folder: str, packs: int = 8) -> DataFrame:
     return objects.select("oid", "kind", "data").repartition(packs, "oid").mapInArrow(run, model.MANIFEST)
 
 
+def sound(pack: str, index: str) -> bool:
+    """Whether two files are a pack and its index, by their checksums."""
+    try:
+        with open(pack, "rb") as a, open(index, "rb") as b:
+            verify_pair(a.read(), b.read())
+    except EngineError:
+        return False
+    return True
+
+
 def hydrate(manifest: DataFrame, read_range, folder: str, window: int = 8 << 20) -> DataFrame:
     """Fetch the packs of a manifest that the folder lacks, a task each: in ranges of ``window`` bytes by read_range(key, offset, length), verified as pairs, then renamed into place.
 
-    Returns (id, status, bytes, requests); status is present or fetched.
+    Returns (id, status, bytes, requests); status is present, for a pair of files whose
+    sizes and checksums are right, or fetched.
     """
     os.makedirs(folder, exist_ok=True)
 
@@ -352,7 +363,7 @@ def hydrate(manifest: DataFrame, read_range, folder: str, window: int = 8 << 20)
             out = []
             for r in batch.to_pylist():
                 paths = [os.path.join(folder, r["id"] + x) for x in (".pack", ".idx")]
-                if all(os.path.isfile(p) and os.path.getsize(p) == n for p, n in zip(paths, (r["pack_size"], r["index_size"]), strict=True)):
+                if all(os.path.isfile(p) and os.path.getsize(p) == n for p, n in zip(paths, (r["pack_size"], r["index_size"]), strict=True)) and sound(*paths):
                     out.append((r["id"], "present", 0, 0))
                     continue
                 (pack, n), (index, m) = fetch(r["pack_key"], r["pack_size"]), fetch(r["index_key"], r["index_size"])

@@ -165,11 +165,12 @@ def test_search(made):
     assert [r["line"] for r in s.search("NEEDLE", case_sensitive=False, path="a.txt").items] == [2, 3]
     assert [bytes(r["path"]) for r in s.search("needle", binary="text", pathspecs=["bin"]).items] == [b"bin"]
     r = s.search("e{2}d|T?wo", mode="regex", path="a.txt", context_lines=1).items
-    assert [(x["line"], x["column"], [bytes(b) for b in x["context_before"]], [bytes(b) for b in x["context_after"]]) for x in r] == [(2, 0, [b"one"], [b"three needle needle"]), (3, 7, [b"two Needle"], [])]
+    assert [(x["line"], x["column"], [bytes(b) for b in x["context_before"]], [bytes(b) for b in x["context_after"]]) for x in r] == [(2, 1, [b"one"], [b"three needle needle"]), (3, 7, [b"two Needle"], [])]
     page = s.search("needle", limit=2)
     assert page.truncated and [bytes(x["path"]) for x in s.search("needle", limit=2, cursor=page.next_cursor).items] == [b"copy.txt"]
-    for bad in (r"(a)\1", "(?=x)", "(?<!x)a", "a++", "(?>x)"):
+    for bad in (r"(a)\1", "(?=x)", "(?<!x)a", "a++", "(?>x)", "(", "[a", "a{2,1}", "[é]x", "(a|b)*c", "(a+)+b", "(?:x|yy){2,}"):
         assert code(lambda b=bad: s.search(b, mode="regex")) == "unsupported_regex"
+    assert [r["line"] for r in s.search("(?P<n>needle) (?:ne+)", mode="regex", path="a.txt").items] == [3]
     assert code(lambda: s.search("x", context_lines=33)) == "invalid_argument"
     assert s.search("needle", limits=Limits(max_object_bytes=5)).warnings
     empty = s.search("", path="a-b").items
