@@ -7,12 +7,14 @@ range finder, Gram matrices summed over partitions, at most ``RANK`` dimensions)
 gives the latent space. Every window of 32 words of every document (starting 16
 apart) is folded in, and its cosine with each passage decides the candidates.
 
-A window can have a candidate only if it holds a word of the passages, and if the words
-around it hold as many of the passages' words as the shortest passage must share with
-them (``LCS`` of its size). Other windows are dropped before they are folded in, which
-loses nothing. How the window's weight divides between the passages' vocabulary and
-other words plays no part, so items that many documents quote, whose words weigh
-little, are found like others.
+A window and a passage are compared only if verification could accept them, which two
+counts settle without loss: of the passage's rarest words (all but the ``LCS`` of its
+words that may go unmatched, and ``SURELY`` of these) as many must lie around the
+window as cannot be missing, and then of all its words, each as often as the passage
+has it, ``LCS`` of its size. Windows without such a passage aren't folded in. How the
+window's weight divides between the passages' vocabulary and other words plays no
+part, so items that many documents quote, whose words weigh little, are found like
+others.
 
 A candidate counts if the longest common subsequence of the passage and the words
 around the window has ``LCS`` (0.5) of the passage's words and as much of its answer,
@@ -44,6 +46,8 @@ from bough.llm import text as T
 BITS, BLOCK = 18, 16
 PASSAGE, RANK, SPACE_WORDS = 64, 256, 1 << 15
 COSINE, LCS, SURE = 0.4, 0.5, 0.8
+#: Share of the words that must match which are looked for by the first count.
+SURELY = 0.4
 
 
 def _feature(h: np.ndarray) -> np.ndarray:
@@ -209,10 +213,10 @@ class Space:
         self.at[self.feature] = np.arange(len(self.feature))
         lists = [x.tolist() for x in self.words]
         self.sizes = [len(x) for x in lists]
-        self.least, self.most = LCS * min(self.sizes, default=0), max(self.sizes, default=0)
         answers = [x[-max(1, len(x) // 4) :] for x in lists]
         self.answer_sizes = [len(x) for x in answers]
         self.places, self.answer_places = [places(x) for x in lists], [places(x) for x in answers]
+        self._index()
         rows = np.repeat(np.arange(len(self.words)), [len(x) for x in self.words])
         self.coordinates = self.fold(rows, _feature(np.concatenate(self.words).view(np.uint64)) if self.words else np.zeros(0, np.int64), len(self.words))
 
@@ -227,6 +231,68 @@ class Space:
             out[row[begin]] = np.add.reduceat(self.vectors[self.at[f]] * (np.sqrt(count) * self.idf[f])[:, None].astype(np.float32), begin, axis=0)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
+    def _index(self) -> None:
+        """For the two counts: the passages' words, their number in each passage, and of each passage its rarest words."""
+        self.length = np.array(self.sizes, np.int64)
+        self.need = np.ceil(LCS * self.length).astype(np.int64)
+        self.rare = np.maximum(1, (SURELY * self.need).astype(np.int64))
+        words = [x.view(np.uint64) for x in self.words]
+        self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+        key, owner, rank = [], [], []
+        for k, x in enumerate(words):
+            place = np.searchsorted(self.vocabulary, x)
+            rarest = np.unique(place[np.lexsort((x, -self.idf[_feature(x)]))[: self.length[k] - self.need[k] + self.rare[k]]])
+            rank.append(rarest * len(words) + k)
+            own, count = np.unique(place, return_counts=True)
+            key.append(own * len(words) + k)
+            owner.append(count)
+        none = np.zeros(0, np.int64)
+        order = np.argsort(key := np.concatenate([none, *key]))
+        self.pair, self.count = key[order], np.concatenate([none, *owner])[order]  # (word, passage), ascending, and how often
+        rarest = np.sort(np.concatenate([none, *rank]))
+        self.owners = rarest % max(1, len(words))
+        self.first = np.searchsorted(rarest, np.arange(len(self.vocabulary) + 1) * len(words))
+
+    def _candidates(self, row: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, base: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and passages that both counts leave. start, end, first, last: of the windows and of their rows; base, begin: of each word its row's first window and word."""
+        known = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        word = np.minimum(np.searchsorted(self.vocabulary, h[known]), len(self.vocabulary) - 1)
+        true = self.vocabulary[word] == h[known]
+        known, word = known[true], word[true]
+        many = self.first[word + 1] - self.first[word]
+        at = np.repeat(known, many)
+        passage = self.owners[np.repeat(self.first[word], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
+        order = np.argsort((passage << 32) | at)
+        at, passage = at[order], passage[order]
+        one = np.arange(len(at))
+        to = one + self.rare[passage] - 1
+        one, to = one[to < len(at)], to[to < len(at)]
+        near = (passage[to] == passage[one]) & (row[at[to]] == row[at[one]]) & (at[to] - at[one] < 2 * BLOCK + 2 * self.length[passage[one]])
+        low, high, passage = at[one[near]], at[to[near]], passage[one[near]]
+        size = self.length[passage]
+        a = np.maximum(0, -((begin[low] + size + 2 * BLOCK - 1 - high) // BLOCK))
+        b = np.minimum((low + size - begin[low]) // BLOCK, (last[base[low]] - begin[low] - 1) // BLOCK)
+        many = np.maximum(0, b - a + 1)
+        window = np.repeat(base[low] + a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        key = np.unique((window << 32) | np.repeat(passage, many))
+        window, passage = key >> 32, key & 0xFFFFFFFF
+        held = np.searchsorted(known, np.stack([np.maximum(first[window], start[window] - self.length[passage]), np.minimum(last[window], end[window] + self.length[passage])]))
+        total = np.zeros(len(window), np.int64)
+        for i in range(0, len(window), 1 << 14):
+            low, size = held[0, i : i + (1 << 14)], (held[1] - held[0])[i : i + (1 << 14)]
+            own = np.repeat(np.arange(len(low)), size)
+            here = word[np.repeat(low, size) + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)]
+            pair = here * len(self.sizes) + passage[i : i + (1 << 14)][own]
+            found = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+            true = self.pair[found] == pair
+            key, seen = np.unique(own[true] * len(self.pair) + found[true], return_counts=True)
+            owner = key // len(self.pair)
+            total[i : i + (1 << 14)] += np.bincount(owner, np.minimum(seen, self.count[key % len(self.pair)]), len(low)).astype(np.int64)
+        good = total >= self.need[passage]
+        return window[good], passage[good]
+
     def search(self, column: pa.Array) -> dict[tuple[int, int], tuple[float, float, float]]:
         """Verified matches: (row, item_id) to (cosine, share of the passage, share of its answer)."""
         row, h = T.words(column)
@@ -238,30 +304,28 @@ class Space:
         size = np.diff(np.append(begin, len(row)))
         per = -(-size // BLOCK)
         first, last = np.repeat(begin, per), np.repeat(begin + size, per)
-        start = first + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * BLOCK
+        base = np.cumsum(per) - per
+        start = first + (np.arange(per.sum()) - np.repeat(base, per)) * BLOCK
         end = np.minimum(start + 2 * BLOCK, last)
-        held = np.concatenate([[0], np.cumsum(self.at[f] >= 0)])
-        around = held[np.minimum(last, end + self.most)] - held[np.maximum(first, start - self.most)]
-        use = np.flatnonzero((held[end] > held[start]) & (around >= self.least))
-        for i in range(0, len(use), 4096):
-            now = use[i : i + 4096]
+        window, passage = self._candidates(row, h, start, end, first, last, np.repeat(base, size), np.repeat(begin, size))
+        for i in range(0, len(window), 4096):
+            now, inside = np.unique(window[i : i + 4096], return_inverse=True)
             length = end[now] - start[now]
             at = np.repeat(start[now], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            cosine = self.fold(np.repeat(np.arange(len(now)), length), f[at], len(now)) @ self.coordinates.T
-            for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                w_, n = now[w], self.sizes[p]
-                around = h[max(first[w_], start[w_] - n) : min(last[w_], end[w_] + n)].view(np.int64).tolist()
+            unit = self.fold(np.repeat(np.arange(len(now)), length), f[at], len(now))
+            cosine = np.einsum("ij,ij->i", unit[inside], self.coordinates[passage[i : i + 4096]])
+            for k in np.flatnonzero(cosine >= COSINE).tolist():
+                w, p = int(window[i + k]), int(passage[i + k])
+                n = self.sizes[p]
+                around = h[max(first[w], start[w] - n) : min(last[w], end[w] + n)].view(np.int64).tolist()
                 at_p = self.places[p]
                 around = [x for x in around if x in at_p]  # other words play no part in a common subsequence
-                if len(around) < LCS * n:
-                    continue
                 share = common(at_p, n, around) / n
                 if share < LCS:
                     continue
                 answered = common(self.answer_places[p], self.answer_sizes[p], around) / self.answer_sizes[p]
                 if answered >= LCS or share >= SURE:
-                    r = int(row[start[w_]])
-                    key, found = (r, self.items[p]), (float(cosine[w, p]), share, answered)
+                    key, found = (int(row[start[w]]), self.items[p]), (float(cosine[k]), share, answered)
                     if key not in out or found[1:] > out[key][1:]:
                         out[key] = found
         return out
