@@ -1,9 +1,11 @@
 """PII by weak supervision.
 
 Candidate spans (tokens with an @, runs of digits and their separators, addresses of
-four numbers, long tokens of letters and digits) are voted on by labelers: by regular
+four numbers or of groups of hexadecimal digits, long tokens of letters and digits,
+values that are assigned to a password, token or key, given names of a gazetteer with
+the capitalised words after them) are voted on by labelers: by regular
 expressions, by gazetteers (top-level domains, issuer prefixes of cards, reserved
-networks) and by context (words before the span, what it is joined to). A labeler
+networks, given names, placeholders) and by context (words before the span, what it is joined to). A labeler
 says private (1), not private (-1) or abstains (0). A run of digits that isn't shaped
 like a card or a phone number as a whole gives the shaped numbers within it, chosen so
 that they don't overlap and cover most of its digits, valid cards first; numbers that
@@ -14,7 +16,8 @@ a logistic regression over the spans' own features is trained (counted by signat
 features, of which there are a bounded number). A span is reported if that
 classifier holds it for private.
 
-Edge cases: null, empty and digitless texts have no candidates. Whole texts are read.
+Edge cases: null and empty texts have no candidates. Whole texts are read, in time in
+proportion to their length, also such without a blank.
 Offsets count characters from 0. Documents without doc_id are scanned, their spans
 carry a null. Rows that repeat give their spans each. Further columns aren't read. No
 rows give no rows.
@@ -22,7 +25,9 @@ rows give no rows.
 
 from __future__ import annotations
 
+import ipaddress
 import re
+import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -33,15 +38,23 @@ from pyspark.sql import functions as F
 from bough.llm.quality_rules import expectation_maximisation
 from bough.llm.shared import spill
 
+GIVEN = "James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Daniel Matthew Anthony Mark Paul Steven Andrew Emily Emma Olivia Anna Maria Peter Hans Klaus Jürgen Stefan Andreas Sabine Ursula Monika Petra Heike Jean Pierre Michel Jacques François Marie Sophie Camille Isabelle Nathalie José Antonio Manuel Francisco Juan Carmen Dolores Pilar Lucía Elena".split()
+_LOCAL = r"[^\s@<>\"'(),;:]"
 CANDIDATE = re.compile(
-    r"(?P<email>[^\s@<>\"'(),;:]+@[^\s@<>\"'(),;:]+)"
+    rf"(?P<email>(?<!{_LOCAL}){_LOCAL}+@{_LOCAL}+)"  # from the start of a run only: each character is looked at once
+    r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|(?=::))(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]))"
+    r"|(?<![A-Za-z])(?i:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?(?P<assigned>[^\s\"',;]{6,})"
     r"|(?P<secret>(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Za-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2})"
+    rf"|(?P<name>(?<!\w)(?:{'|'.join(GIVEN)})(?: [A-Z]\.)?(?: [A-ZÀ-Þ][A-Za-zÀ-ÿ'-]+){{1,2}}(?!\w))"
 )
+#: A text with a candidate has one of these.
+_MAYBE = r"[0-9@]|::|(?i:pass|pwd|secret|token|key)|(?:" + "|".join(GIVEN) + ") "
+PLACEHOLDERS = frozenset("password passwd secret token changeme example none null true false string required optional undefined xxxxxx ******".split())
 _NUMBER = re.compile(r"(?<![\w.])\+?\(?\d(?:[ ().-]{0,3}\d){6,18}(?![\d])")
 #: Numbers next to each other, at whatever length.
 _RUN = re.compile(r"(?<![\w.])\+?\(?\d(?:[ ().-]{0,3}\d){6,}")
-KINDS = ("email", "ip", "secret", "card", "phone")
+KINDS = ("email", "ip", "secret", "card", "phone", "name")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{8,15}")
 _CARD = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}")
@@ -53,6 +66,7 @@ TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co uk de fr es it
 ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|64[4-9]|35|36|30[0-5]|62")
 RESERVED = re.compile(r"0\.|127\.|255\.|22[4-9]\.|23\d\.")
 _SAYS = re.compile(r"(?:e-?mail|mail|contact|write|phone|tel|telefon|telephone|call|fax|mobile|card|visa|karte|carte|tarjeta|ip|host|address|adresse|token|key|secret|password|passwd|pwd|auth|bearer|credential)\W{0,4}$", re.I)
+_NAMED = re.compile(r"(?:name(?: is)?|mrs?|ms|dr|prof|herr|frau|señora?|madame|monsieur|signed|by|from|dear|contact|call|regards|patient|customer)\W{0,3}$", re.I)
 _DENIES = re.compile(r"(?:version|release|v|isbn|issn|doi|order|invoice|no|nr|page|pages|total|section|id|sha1|sha256|md5|commit|checksum|digest|rev)\W{0,3}$", re.I)
 LABELERS = ("shape", "checksum", "gazetteer", "context", "joined", "date", "uniform")
 
@@ -96,7 +110,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         for run in _RUN.finditer(text, at, m.start() if m else len(text)):
             out += [(a, b, "number") for a, b in numbers(text, *run.span())]
         if m:
-            out.append((*m.span(), m.lastgroup))
+            out.append((*m.span(m.lastgroup), m.lastgroup))
             at = m.end()
     return out
 
@@ -113,22 +127,35 @@ def candidate(start: int, end: int, kind: str, text: str) -> tuple[int, int, str
         digits = re.sub(r"\D", "", value)
     elif kind == "number":
         kind = "card" if _CARD.fullmatch(value) else "phone"
+    if kind in ("assigned", "secret"):
+        told, kind = kind == "assigned", "secret"
     before, after = text[max(0, start - 24) : start], text[end : end + 2]
     hint = 1 if _SAYS.search(before) or (kind == "secret" and re.search(r"[=:]\s*[\"']?$", before)) else -1 if _DENIES.search(before) else 0
     if kind == "email":
         shape = 1 if _EMAIL.fullmatch(value) else -1
         known = 1 if value.rpartition(".")[2].lower() in TOP_LEVEL else -1
         check = 0
+    elif kind == "ip6":
+        kind = "ip"
+        try:
+            address = ipaddress.IPv6Address(value)
+            shape, known = 1, -1 if address.is_loopback or address.is_unspecified else 0 if address.is_link_local or address.is_multicast else 1
+        except ValueError:
+            shape, known = -1, -1
+        check = 0
+    elif kind == "name":
+        shape, known, check = 1, 1, 0
+        hint = 1 if _NAMED.search(before) else 0
     elif kind == "ip":
         octets = [int(x) for x in value.split(".")]
         shape = 1 if max(octets) <= 255 else -1
         known = -1 if value in ("0.0.0.0", "127.0.0.1", "255.255.255.255") else 0 if RESERVED.match(value) else 1
         check = -1 if any(len(x) > 1 and x[0] == "0" for x in value.split(".")) else 0
     elif kind == "secret":
-        shape = 1 if _HEX.fullmatch(value) else 0
-        known = 0
+        shape = 1 if _HEX.fullmatch(value) or told else 0
+        known = -1 if value.lower() in PLACEHOLDERS else 0
         counts = np.unique(list(value), return_counts=True)[1] / len(value)
-        check = 1 if -(counts * np.log2(counts)).sum() > 3.2 else -1
+        check = 1 if -(counts * np.log2(counts)).sum() > (2.5 if told else 3.2) else -1
     elif kind == "card":
         shape = 1 if len(digits) in (15, 16) else 0
         known = 1 if ISSUERS.match(digits) else -1
@@ -138,16 +165,27 @@ def candidate(start: int, end: int, kind: str, text: str) -> tuple[int, int, str
         known = 1 if value[0] in "+(" or value.startswith("00") else 0
         check = 1 if 7 <= len(digits) <= 15 else -1
     left, right = before[-1:], after[:1]
-    joined = -1 if (left.isalnum() or right.isalnum()) and kind != "email" else 0
+    joined = -1 if (left.isalnum() or right.isalnum()) and kind not in ("email", "name") else 0
     if right == "." and after[1:2].isdigit():
         joined = -1
     date = -1 if kind in ("phone", "card") and _DATE.fullmatch(value) else 0
-    uniform = -1 if len(set(digits)) == 1 and len(digits) > 3 else 1 if len(set(digits)) >= 4 and kind != "email" else 0
+    uniform = -1 if len(set(digits)) == 1 and len(digits) > 3 else 1 if len(set(digits)) >= 4 and kind not in ("email", "name") else 0
     votes = (shape, check, known, hint, joined, date, uniform)
-    features = (KINDS.index(kind), min(len(value) // 4, 10), min(len(digits) // 3, 7), "+" in value, "(" in value, "-" in value, "." in value, " " in value, shape + 1, known + 1, hint + 1, joined + 1, date + 1, uniform + 1)
+    features = (KINDS.index(kind), min(len(value) // 4, 10), min(len(digits) // 3, 7), "+" in value, "(" in value, "-" in value, "." in value, " " in value, shape + 1, known + 1, hint + 1, joined + 1, date + 1, uniform + 1, _class(left), _class(right), _said(before))
     return start, end, kind, value, votes, tuple(int(x) for x in features)
 
 
+def _class(c: str) -> int:
+    return 0 if not c else 1 if c.isspace() else 2 if c.isalnum() else 3 if c in "=:\"'" else 4
+
+
+def _said(before: str) -> int:
+    """The last word before a span, by its hash: a feature that no labeler looks at."""
+    words = _WORD.findall(before)
+    return zlib.crc32(words[-1].lower().encode()) % 16 if words else 16
+
+
+_WORD = re.compile(r"[^\W\d_]+")
 _SPAN = "doc_id long, start long, end long, kind string, value string, votes array<int>, features array<int>"
 
 
@@ -167,11 +205,11 @@ def candidates(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").take(pa.array(ids)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind), pa.array(value), pa.array(list(votes), pa.list_(pa.int32())), pa.array(list(features), pa.list_(pa.int32()))], ["doc_id", "start", "end", "kind", "value", "votes", "features"]
                 )
 
-    rows = docs.where(docs["text"].rlike("[0-9@]")).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = docs.where(docs["text"].rlike(_MAYBE)).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return rows.mapInArrow(run, _SPAN)
 
 
-_SIZES = (len(KINDS), 11, 8, 2, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3)
+_SIZES = (len(KINDS), 11, 8, 2, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 5, 5, 17)
 _OFFSETS = np.concatenate([[0], np.cumsum(_SIZES)[:-1]])
 
 
