@@ -75,6 +75,24 @@ def test_insert_and_delete_are_reversible(spark, tmp_path):
     assert state(steps) == state(whole)
 
 
+def test_a_change_rewrites_the_shards_it_touches(spark, tmp_path):
+    store = line_dedup.LineStore(spark, str(tmp_path / "store"), shards=64)
+    store.insert(spark.createDataFrame(corpus(200), "doc_id long, text string"))
+    store.insert(spark.createDataFrame([(1000, "one new line of text\nthis is line 3")], "doc_id long, text string"))
+    assert sorted(store._at.values()).count(2) <= 2 and len(store._at) == 64
+    store.delete(spark.createDataFrame([(1000,)], "doc_id long"))
+    whole = line_dedup.LineStore(spark, str(tmp_path / "whole"), shards=64)
+    whole.insert(spark.createDataFrame(corpus(200), "doc_id long, text string"))
+    assert state(store) == state(whole)
+
+
+def test_texts_of_one_id_keep_their_own_lines(spark):
+    rows = [(1, "shared line number one"), (4, "shared line number one"), (4, "a unique line of text"), (4, "a unique line of text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup(docs).collect()) == [(1, rows[0][1]), (4, rows[2][1]), (4, rows[2][1])]
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.report(docs).collect()) == [(1, rows[0][1], 0), (4, "", 1), (4, rows[2][1], 0), (4, rows[2][1], 0)]
+
+
 def test_odd_rows(odd, none):
     got = line_dedup.report(odd).collect()
     assert len(got) == odd.count()
