@@ -3,9 +3,10 @@
 A shingle is three consecutive words. Texts and templates are cut into windows of 8
 shingles that start 4 apart (in templates 1 apart); a window's MinHash signature has
 32 values and every value is a band of its own, so two windows of Jaccard similarity
-s share a band with a probability of 1 - (1 - s) ** 32: at 0.2, which a template
-of three shingles reaches with the window that holds it, 0.9992; at 0.3 and above
-more than 0.99998. Documents that share a band with a template's window are verified:
+s share a band with a probability of 1 - (1 - s) ** 32: at 0.3 and above more than
+0.99998. The texts' half windows of 4 shingles are asked too, so a template of a single
+shingle, which is a quarter of the half window that holds it, meets it with a
+probability of 0.9999. Documents that share a band with a template's window are verified:
 the share of the template's distinct shingles that occur in the document, counted
 exactly over the whole text, must be ``LEAST`` (0.8) or more.
 
@@ -45,6 +46,10 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "all-rights-reserved": "All rights reserved.",
     "proprietary": "All rights reserved. No part of this publication may be reproduced without permission",
 }
 
@@ -101,12 +106,13 @@ class Templates:
             least = np.minimum.reduceat(_values(g, band), start)
             window = least.copy()
             window[joined] = np.minimum(least[joined], least[joined + 1])
-            hit = np.flatnonzero(seen[(window & np.uint64(0xFFFF)).astype(np.int64)])
-            lo, hi = np.searchsorted(value, window[hit], "left"), np.searchsorted(value, window[hit], "right")
-            several = hi - lo
-            hit, lo, several = hit[several > 0], lo[several > 0], several[several > 0]
-            at = np.repeat(lo, several) + np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
-            found.append(np.repeat(owner[hit], several) * len(self.names) + name[at])
+            for least_of in (window, least):
+                hit = np.flatnonzero(seen[(least_of & np.uint64(0xFFFF)).astype(np.int64)])
+                lo, hi = np.searchsorted(value, least_of[hit], "left"), np.searchsorted(value, least_of[hit], "right")
+                several = hi - lo
+                hit, lo, several = hit[several > 0], lo[several > 0], several[several > 0]
+                at = np.repeat(lo, several) + np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+                found.append(np.repeat(owner[hit], several) * len(self.names) + name[at])
         return np.unique(np.concatenate(found))
 
 
