@@ -5,10 +5,10 @@ last; in each window one network reads forwards, another backwards, and a softma
 over both states gives every byte a probability for each language. A document's
 probability for a language is the mean over all its bytes; the greatest is its
 label. The network is trained in numpy by backpropagation through time, with Adam,
-on random windows of ``sample`` labelled documents (1500 by default, those of least
-hashed doc_id); labelling reads every byte of every document.
+on random windows of ``sample`` labelled documents (1500 by default, of each language
+as many, those of least hash); labelling reads every byte of every document.
 
-Edge cases: languages are the distinct non-null values of lang in the sample. A null
+Edge cases: languages are the distinct non-null values of lang in all rows that have a text. A null
 or empty text has no bytes, so its label and probabilities are null. Labels say
 nothing about rows whose lang is null; such rows are labelled like others. Without
 labelled rows all labels are null. Rows that repeat get equal results; further
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bough.llm import text as T
@@ -161,14 +161,16 @@ def pooled(p: Parameters, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fitted(docs: DataFrame, sample: int, steps: int) -> tuple[list[str], Parameters | None]:
-    """The languages and the network, from the labelled rows of least hashed doc_id."""
-    known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (F.length(docs["text"]) > 0)).select(F.xxhash64(docs["doc_id"].cast("long")).alias("k"), docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"))
-    # which ones is settled on the hashes alone, so that no task gathers texts
-    last = known.select("k").orderBy("k").limit(sample).agg(F.max("k")).first()[0]
-    got = known.where(F.col("k") <= F.lit(last)).toArrow().sort_by([("k", "ascending"), ("lang", "ascending"), ("text", "ascending")]).slice(0, sample)
-    names = sorted(set(got["lang"].to_pylist()))
+    """The languages and the network, from as many labelled rows of each language, of least hash; rows that repeat count once."""
+    known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (F.length(docs["text"]) > 0)).select(F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("k"), docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"))
+    names = sorted(r[0] for r in known.select("lang").distinct().collect())  # a row a language
     if not names:
         return [], None
+    # which ones is settled on the hashes alone, so that no task gathers texts
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    cuts = known.select("k", "lang").withColumn("n", place).where(F.col("n") <= -(-sample // len(names))).groupBy("lang").agg(F.max("k").alias("cut"))
+    chosen = known.join(F.broadcast(cuts), "lang").where("k <= cut").dropDuplicates(["lang", "k"]).select("k", "lang", "text")
+    got = chosen.toArrow().sort_by([("k", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     labels = np.array([names.index(x) for x in got["lang"].to_pylist()])
     return names, train([x.encode() for x in got["text"].to_pylist()], labels, len(names), steps)
 
