@@ -85,6 +85,10 @@ ORACLES: dict[str, str] = {
         SELECT sha1('blob ' || strlen(t) || chr(0) || t) = oid AS intact, count(*) AS objects FROM v GROUP BY 1""",
     "layered_first_hit": """WITH l AS (SELECT doc_id AS oid, i AS layer, 'layer ' || i || ': ' || source AS payload FROM documents, range(3) t(i) WHERE doc_id % 3 = i OR doc_id % 10 = 0)
         SELECT oid, arg_min(payload, layer) AS payload, min(layer)::INT AS layer FROM l WHERE oid IS NOT NULL GROUP BY oid""",
+    "tree_expand": f"WITH {_TREE} SELECT path, depth, kind, sort_key, oid FROM t",
+    "search_page": f"""WITH {_LINES}, h AS (SELECT oid, line FROM l WHERE contains(said, 'the')), r AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY line) AS ordinal, line FROM f JOIN h ON f.oid = h.oid)
+        SELECT path, ordinal, line FROM r WHERE path > 'src5' OR (path = 'src5' AND ordinal > 1) ORDER BY path, ordinal LIMIT 200""",
+    "search_oversize": f"WITH {_FILES} SELECT path, size FROM f WHERE size > 2000",
     "search_literal": f"""WITH {_LINES}, h AS (SELECT oid, line, strlen(said[:position('the' IN said) - 1]) AS col FROM l WHERE contains(said, 'the'))
         SELECT path, f.oid, row_number() OVER (PARTITION BY path ORDER BY line) AS ordinal, line, col AS column FROM f JOIN h ON f.oid = h.oid""",
     "search_icase": f"""WITH {_LINES}, h AS (SELECT oid, line, said, regexp_extract(said, '(?i)^(.*?)[t][h][e]', 1) AS before FROM l WHERE regexp_matches(said, '[tT][hH][eE]'))
@@ -106,8 +110,14 @@ ORACLES: dict[str, str] = {
     "diff_exact_renames": f"""WITH {_SIDES}, a AS (SELECT old_path, old_oid, row_number() OVER (PARTITION BY old_oid ORDER BY old_path) AS n, old_mode FROM c WHERE status = 'deleted'),
         b AS (SELECT new_path, new_oid, row_number() OVER (PARTITION BY new_oid ORDER BY new_path) AS n, new_mode FROM c WHERE status = 'added')
         SELECT old_path, new_path, old_oid, 100 AS similarity FROM a JOIN b ON old_oid = new_oid AND a.n = b.n AND old_mode = new_mode""",
+    "diff_patch": f"""WITH {_SIDES}, m AS (SELECT new_path, string_split(old, chr(10)) AS l, old = '' OR suffix(old, chr(10)) AS ended FROM c WHERE status = 'modified' AND position(chr(0) IN new) = 0),
+        p AS (SELECT new_path, len(l) - 1 AS old_start, 0 AS old_lines, len(l) AS new_start, unnest([0, 1]) AS "at", 'addition' AS origin, unnest(['', 'appended line']) AS content, NULL::BIGINT AS old_line, unnest([len(l), len(l) + 1]) AS new_line, unnest([false, true]) AS no_newline FROM m WHERE ended
+              UNION ALL SELECT new_path, len(l), 1, len(l), unnest([0, 1, 2]), unnest(['deletion', 'addition', 'addition']), unnest([l[-1], l[-1], 'appended line']), unnest([len(l), NULL, NULL]), unnest([NULL, len(l), len(l) + 1]), unnest([true, false, true]) FROM m WHERE NOT ended)
+        SELECT new_path, 0::BIGINT AS hunk, old_start, old_lines, new_start, 2::BIGINT AS new_lines, "at", origin, content, old_line, new_line, no_newline FROM p""",
     "diff_line_stats": f"""WITH {_SIDES} SELECT status, old_path, new_path, (CASE status WHEN 'added' THEN {_lines("new")} WHEN 'deleted' THEN 0 WHEN 'modified' THEN CASE WHEN old = '' OR suffix(old, chr(10)) THEN 1 + (old = '' OR suffix(old, chr(10)))::INT ELSE 2 END END)::BIGINT AS additions,
         (CASE status WHEN 'added' THEN 0 WHEN 'deleted' THEN {_lines("old")} ELSE CASE WHEN old = '' OR suffix(old, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS deletions, false AS binary FROM c WHERE status IN ('modified', 'added', 'deleted')""",
+    "ancestor_shallow": f"""WITH RECURSIVE {_EDGES}, a(oid) AS (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT parent FROM e) UNION SELECT parent FROM a JOIN e ON child = oid WHERE child % 10 <> 0)
+        SELECT oid FROM a""",
     "ancestor_set": f"WITH RECURSIVE {_EDGES}, {_reach('a', '(SELECT max(o_orderkey) FROM orders)')} SELECT oid FROM a",
     "is_ancestor": f"""WITH RECURSIVE {_EDGES}, m AS (SELECT max(o_orderkey) AS z FROM orders), q(ancestor, descendant) AS (SELECT unnest([0, z, 3, z, z // 4, z // 5]), unnest([z, z, z, 3, z, z]) FROM m),
         a(s, oid) AS (SELECT DISTINCT descendant, descendant FROM q UNION SELECT s, parent FROM a JOIN e ON child = oid)
@@ -126,6 +136,13 @@ ORACLES: dict[str, str] = {
         SELECT commit, 'file-' || j AS path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS action, now AS oid FROM x WHERE now IS DISTINCT FROM was""",
     "blame_append_only": f"WITH {_VERSIONS} SELECT path, version, line_no, origin, line_no AS origin_line FROM bl",
     "blame_hunks": f"WITH {_VERSIONS} SELECT path, version, origin, line_no AS final_start, line_no AS final_end, line_no AS original_start FROM bl",
+    "blame_boundary": f"""WITH {_VERSIONS}, vs AS (SELECT DISTINCT path, version FROM bl), p AS (SELECT DISTINCT version FROM (SELECT version, lag(version) OVER (PARTITION BY path ORDER BY version) AS before FROM vs) WHERE before IS NOT NULL)
+        SELECT path, version, origin, origin NOT IN (SELECT version FROM p) AS boundary FROM bl""",
+    "refs_peel": """WITH RECURSIVE k AS (SELECT c_custkey AS o, CASE WHEN c_custkey % 2 = 0 THEN 'tag' WHEN c_custkey % 5 = 0 THEN 'tree' ELSE 'commit' END AS kind FROM customer WHERE c_custkey > 0),
+        t AS (SELECT o, CASE WHEN o % 11 = 0 THEN -o ELSE o // 2 END AS target, CASE WHEN o % 7 = 0 THEN 'blob' WHEN o // 2 % 2 = 0 THEN 'tag' WHEN o // 2 % 5 = 0 THEN 'tree' ELSE 'commit' END AS claim FROM k WHERE o % 2 = 0),
+        w AS (SELECT o AS start, o AS oid, NULL::VARCHAR AS claimed FROM k UNION ALL SELECT start, target, claim FROM w JOIN k ON k.o = w.oid JOIN t ON t.o = w.oid WHERE coalesce(claimed, 'tag') = 'tag')
+        SELECT start, oid, kind, CASE WHEN k.o IS NULL THEN 'not_found' WHEN claimed <> kind THEN 'kind_mismatch' WHEN kind = 'commit' THEN 'resolved' ELSE 'wrong_kind' END AS status
+        FROM w LEFT JOIN k ON k.o = oid WHERE k.o IS NULL OR kind <> 'tag' OR claimed <> kind""",
     "refs_list_prefix": f"WITH {_REFS} SELECT name, kind, oid, symbolic_target FROM r WHERE starts_with(name, 'refs/heads/') AND name > 'refs/heads/NATION_15'",
     "refs_resolve": f"""WITH RECURSIVE {_REFS}, w AS (SELECT name, name AS target, 0 AS hops FROM r UNION ALL SELECT w.name, r.symbolic_target, w.hops + 1 FROM w JOIN r ON r.name = w.target WHERE r.kind = 'symbolic')
         SELECT w.name, target, r.oid, hops::INT AS hops, 'resolved' AS status FROM w JOIN r ON r.name = w.target WHERE r.kind = 'direct'""",

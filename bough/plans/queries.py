@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bough.functions import octets as O
-from bough.operators import diff, files, graph, history, refs, search, submodules, tree
+from bough.operators import diff, files, graph, history, paging, refs, search, submodules, tree
 from bough.sources import tables
 
 QUERY = "the"
@@ -166,6 +168,29 @@ def diff_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(text("new_path"), "hunk", "old_start", "old_lines", "new_start", "new_lines", "at", "origin", text("content"), "old_line", "new_line", "no_newline")
 
 
+def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything under the root, by joins of tree entries level by level."""
+    paths = tables.with_directories(tables.files(spark, sf_dir))
+    parts = F.split(O.chars(F.col("path")), "/")
+    tree_id = lambda x: F.unhex(F.sha1(F.concat(F.lit("tree "), x).cast("binary")))
+    here, above = O.chars(F.col("path")), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    entries = paths.select(tree_id(above).alias("tree_oid"), "mode", O.octets(F.element_at(parts, -1)).alias("name"), F.when(F.col("kind") == "tree", tree_id(here)).otherwise(F.unhex("oid")).alias("oid"), "kind")
+    got = tree.expand(entries, hashlib.sha1(b"tree ").digest())
+    return got.select(text("path"), "depth", "kind", text("sort_key"), F.when(F.col("kind") == "blob", F.lower(F.hex("oid"))).alias("oid"))
+
+
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a search: 200 rows behind a position."""
+    rows = _search(spark, sf_dir, spans=False)
+    behind = paging.after([F.col("path"), F.col("ordinal")], [bytearray(b"src5"), 1])
+    return rows.where(behind).orderBy("path", "ordinal").limit(200).select(text("path"), "ordinal", "line")
+
+
+def search_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search under a ceiling of 2000 bytes leaves out."""
+    return search.skipped(tables.files(spark, sf_dir), 2000).select(text("path"), "size")
+
+
 # graph -------------------------------------------------------------------------------
 
 def _last(spark: SparkSession, sf_dir: str) -> int:
@@ -251,9 +276,35 @@ def blame_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("file").alias("path"), F.col("commit").cast("long").alias("version"), F.col("origin_commit").cast("long").alias("origin"), "final_start", "final_end", "original_start")
 
 
+def blame_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines, and whether their origin is a version that no file has a version before."""
+    v = tables.versions(spark, sf_dir).select("path", "version").distinct()
+    before = F.lag("version").over(Window.partitionBy("path").orderBy("version"))
+    edges = v.select(F.col("version").alias("child"), before.alias("parent")).where("parent is not null")
+    got = history.with_boundary(history.hunks(_blamed(spark, sf_dir)), edges)
+    return got.select(F.col("file").alias("path"), F.col("commit").cast("long").alias("version"), F.col("origin_commit").cast("long").alias("origin"), "boundary")
+
+
+def ancestor_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ancestors of all tips, where every tenth commit is at a shallow boundary."""
+    edges = tables.commit_edges(spark, sf_dir)
+    commits = tables.commits(spark, sf_dir).select("oid")
+    tips = commits.join(edges, F.col("oid") == F.col("parent"), "left_anti")
+    return graph.reachable(graph.cut_shallow(edges, commits.where("oid % 10 = 0")), tips)
+
+
 # references and submodules -------------------------------------------------------------
 
 
+def refs_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as objects: even ones are tags of their halves, of which some lie about the kind and some point nowhere."""
+    c = tables.table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("oid"))
+    kind = lambda x: f"case when {x} % 2 = 0 then 'tag' when {x} % 5 = 0 then 'tree' else 'commit' end"
+    objects = c.select("oid", F.expr(kind("oid")).alias("kind"))
+    tags = c.where("oid % 2 = 0").select("oid", F.expr("case when oid % 11 = 0 then -oid else oid div 2 end").alias("target_oid"), F.expr(f"case when oid % 7 = 0 then 'blob' else {kind('(oid div 2)')} end").alias("target_kind"))
+    return refs.peel(objects, c, tags).select("start", "oid", "kind", "status")
+
+
 def refs_list_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.listing(tables.refs(spark, sf_dir), "refs/heads/", after="refs/heads/NATION_15")
 
@@ -338,5 +389,5 @@ QUERIES = {f.__name__: f for f in (
     layered_first_hit, verify_objects, search_literal, search_icase, search_regex, search_pathspec, search_context, search_submatches, search_dedup_stats, diff_summary, diff_pathspec,
     diff_exact_renames, diff_renames, diff_line_stats, diff_patch, ancestor_set, is_ancestor, merge_bases, commit_child_counts, topo_levels, log_chronological, log_monotone,
     log_since_until, log_first_parent, log_topological, log_date, path_history_first_parent, blame_append_only, blame_hunks, refs_list_prefix, refs_resolve, refs_update, refs_prune,
-    tips_digest, submodules_correlate, binary_probe, tz_offsets, lfs_pointers, ref_names, pack_manifest_missing,
+    tree_expand, search_page, search_oversize, blame_boundary, ancestor_shallow, refs_peel, tips_digest, submodules_correlate, binary_probe, tz_offsets, lfs_pointers, ref_names, pack_manifest_missing,
 )}
