@@ -203,10 +203,17 @@ class Snapshot:
         return self.repository.commits.select("oid", F.col("committer.time").alias("time"))
 
     def log(self, order: str = "chronological", first_parent: bool = False, since: int | None = None, until: int | None = None, limit: int = 1000, cursor: str | None = None, limits: Limits | None = None) -> Page:
-        rows = graph.log(self._timed(), self.repository.edges, self.commit_oid, "time", order, first_parent, since, until, limits)
+        options = {"order": order, "first": first_parent, "since": since, "until": until}
+        goes_on = None
+        if order == "chronological":
+            at = (paging.position(cursor, "log", self.commit_oid, options) or [-1])[0] + 1
+            rows, more = graph.log_part(self._timed(), self.repository.edges, self.commit_oid, "time", first_parent, since, until, limits, at)
+            goes_on = [at + (limits or Limits()).max_objects - 1] if more else None
+        else:
+            rows = graph.log(self._timed(), self.repository.edges, self.commit_oid, "time", order, first_parent, since, until, limits)
         commits = self.repository.commits.select(F.col("oid").alias("o"), *[c for c in self.repository.commits.columns if c != "oid"])
         full = rows.join(commits, F.col("oid") == F.col("o")).drop("o")
-        return paging.page(full, ["ordinal"], "log", self.commit_oid, {"order": order, "first": first_parent, "since": since, "until": until}, limit, cursor, limits)
+        return paging.page(full, ["ordinal"], "log", self.commit_oid, options, limit, cursor, limits, goes_on=goes_on)
 
     def _states(self, paths: list[str]) -> DataFrame:
         """(commit, path, oid, mode) of paths in all commits that are reachable: one lookup a segment for all commits at once."""

@@ -180,8 +180,21 @@ def log(commits: DataFrame, edges: DataFrame, start, time: str, how: str = "chro
     """(oid, time, ordinal) of the commits reachable from start, in exact order.
 
     since_ also ends the walk at older commits, until only hides younger ones. More
-    reachable commits than max_objects are a budget_exceeded.
+    reachable commits than max_objects are a budget_exceeded (but see ``log_part``).
     """
+    return _log(commits, edges, start, time, how, first_parent, since_, until, limits, None)[0]
+
+
+def log_part(commits: DataFrame, edges: DataFrame, start, time: str, first_parent: bool = False, since_: int | None = None, until: int | None = None, limits: Limits | None = None, at: int = 0) -> tuple[DataFrame, bool]:
+    """The chronological log as far as max_objects commits behind the first ``at`` of the walk, and whether it goes on.
+
+    Ordinals count the commits of the walk, also those that until hides, so a later
+    part goes on at the last one's ordinal + 1.
+    """
+    return _log(commits, edges, start, time, "chronological", first_parent, since_, until, limits, at)
+
+
+def _log(commits: DataFrame, edges: DataFrame, start, time: str, how: str, first_parent: bool, since_: int | None, until: int | None, limits: Limits | None, at: int | None) -> tuple[DataFrame, bool]:
     if how not in ORDERS:
         raise EngineError("invalid_argument", f"unknown order {how!r}")
     most = (limits or Limits()).max_objects
@@ -191,7 +204,9 @@ def log(commits: DataFrame, edges: DataFrame, start, time: str, how: str = "chro
         edges = since(edges, commits, time, since_)
     reach = spill(reachable(edges, spark.createDataFrame([(start,)], f"oid {kind}")))
     if reach.limit(most + 1).count() > most:
-        raise EngineError("budget_exceeded", "the walk reaches more commits than max_objects")
+        if at is None:
+            raise EngineError("budget_exceeded", "the walk reaches more commits than max_objects")
+        return _first(commits, edges, start, time, since_, until, reach, at + most, at)
     plain = lambda x: bytes(x) if isinstance(x, bytearray) else x
     times = {plain(r[0]): r[1] for r in commits.join(F.broadcast(reach), "oid", "left_semi").select("oid", time).collect()}  # max_objects at most
     if start not in times:
@@ -203,8 +218,58 @@ def log(commits: DataFrame, edges: DataFrame, start, time: str, how: str = "chro
     if missing:
         raise EngineError("missing_object", "a parent isn't in the store", count=len(missing))
     parents = {c: [p for _, p in sorted(ps, key=lambda x: x[0])] for c, ps in up.items()}
-    shown = [x for x in order(start, parents, times, how) if (since_ is None or times[x] >= since_) and (until is None or times[x] <= until)]
-    return spark.createDataFrame([(x, times[x], i) for i, x in enumerate(shown)], f"oid {kind}, time long, ordinal long")
+    shown = lambda x: (since_ is None or times[x] >= since_) and (until is None or times[x] <= until)
+    walk = order(start, parents, times, how)
+    if at is not None:
+        rows = [(x, times[x], i) for i, x in enumerate(walk) if i >= at and shown(x)]
+    else:
+        rows = [(x, times[x], i) for i, x in enumerate(filter(shown, walk))]
+    return spark.createDataFrame(rows, f"oid {kind}, time long, ordinal long"), False
+
+
+def _first(commits: DataFrame, edges: DataFrame, start, time: str, since_: int | None, until: int | None, reach: DataFrame, most: int, at: int) -> tuple[DataFrame, bool]:
+    """The first ``most`` commits of the chronological walk without those before ``at``: the youngest of the commits reached are loaded at once, others when the walk comes to them."""
+    spark, kind = edges.sparkSession, edges.schema["parent"].dataType.simpleString()
+    plain = lambda x: bytes(x) if isinstance(x, bytearray) else x
+    raw = lambda x: bytearray(x) if isinstance(x, bytes) else x
+    timed = commits.join(reach, "oid", "left_semi").select("oid", F.col(time).alias("time"))
+    times: dict = {}
+    parents: dict = {}
+
+    def load(ids: list) -> None:
+        wanted = spark.createDataFrame([(raw(x),) for x in ids], f"child {kind}")
+        rows = edges.join(F.broadcast(wanted), "child").select("child", "parent", "idx")  # max_objects ids at most
+        for c, p, _ in sorted(((plain(r[0]), plain(r[1]), r[2]) for r in rows.collect()), key=lambda r: (r[0], r[2])):
+            parents[c].append(p)
+        lack = [p for c in ids for p in parents[c] if p not in times]
+        if lack:
+            more = spark.createDataFrame([(raw(x),) for x in set(lack)], f"oid {kind}")
+            times.update((plain(r[0]), r[1]) for r in timed.join(F.broadcast(more), "oid").collect())
+            if any(p not in times for p in lack):
+                raise EngineError("missing_object", "a parent isn't in the store")
+
+    for r in timed.orderBy(F.desc("time")).limit(most).collect():
+        times[plain(r[0])] = r[1]
+    if start not in times:
+        times[start] = timed.where(F.col("oid") == F.lit(raw(start))).first()[1]
+    first = list(times)
+    parents.update((x, []) for x in first)
+    load(first)
+    heap, seen, n, out = [(-times[start], 0, start)], {start}, 1, []
+    while heap and len(out) < most:
+        _, _, x = heapq.heappop(heap)
+        if x not in parents:
+            ids = [x] + [y for _, _, y in heap if y not in parents]
+            parents.update((y, []) for y in ids)
+            load(ids)
+        out.append(x)
+        for p in parents[x]:
+            if p not in seen:
+                seen.add(p)
+                heapq.heappush(heap, (-times[p], n, p))
+                n += 1
+    rows = [(raw(x), times[x], i) for i, x in enumerate(out) if i >= at and (since_ is None or times[x] >= since_) and (until is None or times[x] <= until)]
+    return spark.createDataFrame(rows, f"oid {kind}, time long, ordinal long"), bool(heap)
 
 
 def log_monotone(commits: DataFrame, edges: DataFrame, start, time: str) -> DataFrame:

@@ -44,8 +44,16 @@ def _size(row: Row) -> int:
     return sum(map(one, row))
 
 
-def page(df: DataFrame, keys: list[str], operation: str, snapshot: bytes, options: dict, limit: int = 1000, cursor: str | None = None, limits: Limits | None = None, warnings: list[str] | None = None) -> Page:
-    """The rows behind the cursor, at most limit of them and about max_result_bytes; one row at least if there is any."""
+def position(cursor: str | None, operation: str, snapshot: bytes, options: dict) -> list | None:
+    """The key that a cursor holds."""
+    return None if cursor is None else _unpack(C.decode(cursor, snapshot, operation, C.fingerprint(options)).position)
+
+
+def page(df: DataFrame, keys: list[str], operation: str, snapshot: bytes, options: dict, limit: int = 1000, cursor: str | None = None, limits: Limits | None = None, warnings: list[str] | None = None, goes_on: list | None = None) -> Page:
+    """The rows behind the cursor, at most limit of them and about max_result_bytes; one row at least if there is any.
+
+    goes_on: where df itself ends early, by max_objects, the key at which it does.
+    """
     if isinstance(limit, bool) or not isinstance(limit, int):
         raise TypeError("limit is an integer")
     if limit < 1:
@@ -66,7 +74,9 @@ def page(df: DataFrame, keys: list[str], operation: str, snapshot: bytes, option
             stopped = "max_result_bytes"
             break
         items.append(r)
-    next_ = C.Cursor(snapshot, operation, mark, _pack([items[-1][k] for k in keys])).encode() if stopped else None
+    last = [items[-1][k] for k in keys] if stopped else goes_on
+    stopped = stopped or ("max_objects" if goes_on else None)
+    next_ = C.Cursor(snapshot, operation, mark, _pack(last)).encode() if stopped else None
     return Page(items, next_, stopped is not None, {"entries_emitted": len(items), "result_bytes": min(total, limits.max_result_bytes), "stopped_by": stopped}, warnings or [])
 
 

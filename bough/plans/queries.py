@@ -104,23 +104,23 @@ def _search(spark: SparkSession, sf_dir: str, query: str = QUERY, **options) ->
 
 
 def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, spans=False).select(text("path"), F.col("blob_oid").alias("oid"), "ordinal", "line", "column")
+    return _search(spark, sf_dir).select(text("path"), F.col("blob_oid").alias("oid"), "ordinal", "line", "column")
 
 
 def search_icase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, "THE", case_sensitive=False, spans=False).select(text("path"), "line", "column")
+    return _search(spark, sf_dir, "THE", case_sensitive=False).select(text("path"), "line", "column")
 
 
 def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, "[0-9]+[a-z]|[A-Z]{3,}", mode="regex", spans=False).select(text("path"), "line", "column")
+    return _search(spark, sf_dir, "[0-9]+[a-z]|[A-Z]{3,}", mode="regex").select(text("path"), "line", "column")
 
 
 def search_pathspec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, pathspecs=PATHSPECS, spans=False).select(text("path"), "line", "column")
+    return _search(spark, sf_dir, pathspecs=PATHSPECS).select(text("path"), "line", "column")
 
 
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _search(spark, sf_dir, "license", context_lines=1, spans=False)
+    got = _search(spark, sf_dir, "license", context_lines=1)
     joined = lambda c: F.decode(F.expr(f"aggregate({c}, cast('' as binary), (a, x) -> concat(a, x, cast('|' as binary)))"), "UTF-8").alias(c)
     return got.select(text("path"), "line", joined("context_before"), joined("context_after"))
 
@@ -181,7 +181,7 @@ def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of a search: 200 rows behind a position."""
-    rows = _search(spark, sf_dir, spans=False)
+    rows = _search(spark, sf_dir)
     behind = paging.after([F.col("path"), F.col("ordinal")], [bytearray(b"src5"), 1])
     return rows.where(behind).orderBy("path", "ordinal").limit(200).select(text("path"), "ordinal", "line")
 

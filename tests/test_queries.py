@@ -6,7 +6,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from bough.operators import diff, graph, history
+from bough.model import Limits
+from bough.operators import diff, files, graph, history, search
 from bough.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +101,44 @@ def test_similar_pairs_against_brute_force(spark):
 def test_attribution_over_a_merge():
     v = [("1", "f", [], b"a\nb\n"), ("2", "f", ["1"], b"a\nx\nb\n"), ("3", "g", ["1"], b"a\nb\ny\n"), ("4", "f", ["2", "3"], b"a\nx\nb\ny\nz\n")]
     assert history.attribute(v[::-1])["4"] == [("1", "f", 1), ("2", "f", 2), ("1", "f", 2), ("3", "g", 3), ("4", "f", 5)]
+
+
+def test_layers_behind_a_hit_are_not_consulted(spark):
+    rows = [[("a", "x", None)], [("a", None, "gone"), ("b", "y", None)], [("b", "z", None), ("c", None, "broken")]]
+    layers = [spark.createDataFrame(r, "oid string, payload string, error string") for r in rows]
+    assert sorted(map(tuple, files.layered(layers[:2]).collect())) == [("a", "x", 0), ("b", "y", 1)]
+    with pytest.raises(Exception, match="backend_error: layer 2: broken"):
+        files.layered(layers).collect()
+
+
+def test_a_long_line_with_a_choice_is_found(spark):
+    files_ = spark.createDataFrame([(bytearray(b"a"), 0o100644, "blob", "1", 80_003, bytearray(b"ab" * 40_000 + b"xyz"))], "path binary, mode int, kind string, oid string, size long, data binary")
+    got = search.search(files_, "(?:x|y)(y|q)z|[0-9]", mode="regex").collect()
+    assert [(r["line"], r["column"], [tuple(x) for x in r["submatches"]]) for r in got] == [(1, 80_000, [])]
+
+
+def test_histories_are_whole():
+    known = {"p": [(i, "modified") for i in range(3000)] + [(3000, "added")], "q": [(3001, "added")]}
+    got = history.follow(lambda path, below: known[path], lambda commit, path: "q" if path == "p" else None, "p")
+    assert len(got) == 3002 and got[-1] == ("q", 3001, "added")
+
+
+def test_parts_of_a_log_make_the_whole(spark):
+    """On random graphs and clocks that run backwards, parts of a few commits each give the walk of all."""
+    for seed in range(3):
+        edges = dag(seed, 50)
+        dice = random.Random(seed)
+        times = {k: dice.randrange(100) for k in range(50)}
+        e, c = spark.createDataFrame(edges, "child long, parent long, idx int"), spark.createDataFrame(list(times.items()), "oid long, time long")
+        parents = {}
+        for child, p, _ in edges:
+            parents.setdefault(child, []).append(p)
+        want = graph.order(49, parents, times)
+        got, at = [], 0
+        while True:
+            part, more = graph.log_part(c, e, 49, "time", limits=Limits(max_objects=6), at=at)
+            got += [r["oid"] for r in part.orderBy("ordinal").collect()]
+            if not more:
+                break
+            at += 6
+        assert got == want

@@ -197,7 +197,17 @@ def test_graph(made):
     assert repo.merge_base(c2, c3) == c1 and repo.merge_base(c4, c2, all=True) == [c2]
     assert repo.is_ancestor(c1, c5) and not repo.is_ancestor(c2, c3) and repo.is_ancestor(c3, c3)
     assert code(lambda: repo.is_ancestor(c1, b"1" * 20)) == "not_a_commit"
-    assert code(lambda: s.log(limits=Limits(max_objects=2))) == "budget_exceeded"
+    assert code(lambda: s.log(order="topological", limits=Limits(max_objects=2))) == "budget_exceeded"
+    few, walked, cursor = Limits(max_objects=2), [], None
+    while True:
+        part = s.log(limits=few, cursor=cursor)
+        walked.append([bytes(r["oid"]) for r in part.items])
+        if not part.truncated:
+            break
+        assert part.stats["stopped_by"] == "max_objects"
+        cursor = part.next_cursor
+    assert walked == [[c5, c4], [c2, c3], [c1]]
+    assert code(lambda: repo.read(c1, max_bytes=0)) == "object_too_large" and code(lambda: repo.read(c1, max_bytes=-1)) == "invalid_argument"
 
 
 def test_history_and_blame(made):
