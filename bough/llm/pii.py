@@ -48,8 +48,6 @@ CANDIDATE = re.compile(
     r"|(?P<secret>(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Za-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2})"
     rf"|(?P<name>(?<!\w)(?:{'|'.join(GIVEN)})(?: [A-Z]\.)?(?: [A-ZÀ-Þ][A-Za-zÀ-ÿ'-]+){{1,2}}(?!\w))"
 )
-#: A text with a candidate has one of these.
-_MAYBE = r"[0-9@]|::|(?i:pass|pwd|secret|token|key)|(?:" + "|".join(GIVEN) + ") "
 PLACEHOLDERS = frozenset("password passwd secret token changeme example none null true false string required optional undefined xxxxxx ******".split())
 _NUMBER = re.compile(r"(?<![\w.])\+?\(?\d(?:[ ().-]{0,3}\d){6,18}(?![\d])")
 #: Numbers next to each other, at whatever length.
@@ -205,7 +203,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").take(pa.array(ids)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind), pa.array(value), pa.array(list(votes), pa.list_(pa.int32())), pa.array(list(features), pa.list_(pa.int32()))], ["doc_id", "start", "end", "kind", "value", "votes", "features"]
                 )
 
-    rows = docs.where(docs["text"].rlike(_MAYBE)).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = docs.where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return rows.mapInArrow(run, _SPAN)
 
 
