@@ -2,24 +2,32 @@
 
 Each document is parsed against the text of all other documents of the corpus, whole.
 Its tokens (words, lower-cased, and runs of punctuation) are divided greedily from
-left to right into phrases: the longest run, of a length in the ladder below, that
-occurs in another document, or one token where no longer run does. With n tokens in
-the document, c such phrases, m tokens in all other texts (each distinct text once)
-and c' phrases in the document's own incremental (LZ78) parsing,
+left to right into phrases: the longest run, of any length, that occurs in another
+document, or one token where no run of two does. With n tokens in the document, c such
+phrases, m tokens in all other texts (each distinct text once) and c' phrases in the
+document's own incremental (LZ78) parsing,
 
     cross_entropy    = c * log2(m) / n
     relative_entropy = (c * log2(m) - c' * log2(c')) / n
 
 in bits a token (Ziv and Merhav 1993). Lower is likelier under the rest of the corpus.
 
-Where this departs from a suffix automaton. An automaton of the corpus can't be held
-in one task, and parsing every document against the automaton of every shard takes
-time in proportion to the square of the corpus. Here the paths of the automaton are
-looked up instead, as hashes of runs in an index that is divided by hash over all
-tasks. Lengths are 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, ...: up to 4 every length, beyond
-it two in each octave, so a longer match counts as the rungs that it is made of (a
-run of 1,000 tokens as 768, 192, 32 and 8). Phrases of up to 4 tokens, nearly all
-outside copies, are those of the automaton.
+An automaton of the corpus can't be held in one task, and parsing every document against
+the automaton of every shard takes time in proportion to the square of the corpus. Here
+the paths of the automaton are looked up instead, as hashes of runs in an index that is
+divided by hash over all tasks; the phrases are those of the automaton. Runs of up to 8
+tokens are asked for length by length (2, 3, 4, 6 and 8, then 5 and 7). Beyond, a match
+that no other one holds can't be made longer on either side, so it begins where the
+context of c tokens that begins there follows different tokens (or an end) in different
+places of the corpus, and ends where the context that ends there is followed by
+different ones; that is so in both texts. So with c = 8, 32, 128, ... contexts are asked
+for along with the tokens on both sides, then the runs of c to 4 c tokens that begin and
+end at such places. Where a longest match ends never moves back from one token to the
+next, which gives all others.
+
+Without ``exact`` only lengths of a ladder are looked up: 2, 3, 4, 6, 8, 12, 16, 24, 32,
+48, ...: a longer match counts as the rungs that it is made of (a run of 1,000 tokens as
+768, 192, 32 and 8).
 
 How it works. Distinct texts are dealt by hash to batches of about ``BATCH`` bytes. In
 each round every batch asks for the distinct runs of the round's lengths that may
@@ -29,7 +37,7 @@ second text asked for the same run. A batch asks for a run once however often it
 holds it, so no run, document or group of copies makes a group that grows with the
 corpus. After length 8 only the stretches that are shared are carried on. Rounds end
 when nothing is left to ask for; their number grows with the logarithm of the longest
-shared run. 64-bit hashes stand for runs.
+shared run. 64-bit hashes stand for runs, and 32 bits for the tokens beside a context.
 
 Edge cases: a text that is null or has no tokens has null scores, and 0 phrases. A
 text that occurs in several rows occurs in another document as a whole: it is one
@@ -124,14 +132,8 @@ class Stretches:
     def distinct(self, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
         """The distinct hashes of round k, ascending, and which of them two texts of this batch have; then what fits answers to the runs."""
         asked = self.requests(k)
-        key = np.concatenate([x for _, _, x in asked])
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        text = np.concatenate([self.text[at] for _, at, _ in asked])[order]
-        several = np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first) if len(key) else np.zeros(0, bool)
-        return key[first], several, [(n, at) for n, at, _ in asked], order, np.cumsum(new) - 1
+        key, first, order, group = _grouped(np.concatenate([x for _, _, x in asked]))
+        return key, _differ(np.concatenate([self.text[at] for _, at, _ in asked])[order], first), [(n, at) for n, at, _ in asked], order, group
 
     def answer(self, k: int, there: np.ndarray) -> None:
         """Take in which of the distinct hashes of round k occur elsewhere."""
@@ -180,6 +182,132 @@ class Stretches:
         self.longest, self.alive = _RUNGS[x["rung"]], np.unpackbits(x["alive"], count=len(self.h)).astype(bool)
 
 
+def context(k: int) -> int:
+    """Tokens of a context of round k of the matches."""
+    return 8 << 2 * k
+
+
+class Matches:
+    """Token runs of a batch, for matches of every length: hashes, the stretch, text and place of each token, the longest match known to begin at it, and of the context that begins at it (``_SHARED``, ``_LEFT``, ``_RIGHT``)."""
+
+    def __init__(self, h: np.ndarray, stretch: np.ndarray, text: np.ndarray, place: np.ndarray, low: np.ndarray, flags: np.ndarray):
+        self.h, self.stretch, self.text, self.place, self.low, self.flags = h, stretch, text, place, low, flags
+
+    def _reach(self, alive: np.ndarray) -> np.ndarray:
+        """Of each token how many tokens from it on are alive, within its stretch."""
+        if not len(alive):
+            return np.zeros(0, np.int64)
+        stop = np.flatnonzero(np.concatenate([~alive[1:] | (self.stretch[1:] != self.stretch[:-1]), [True]]))
+        run = stop[np.searchsorted(stop, np.arange(len(alive)))] - np.arange(len(alive)) + 1
+        run[~alive] = 0
+        return run
+
+    def requests(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Beginnings and lengths of the runs that round k asks for, and beginnings of its contexts."""
+        if k == 0:
+            at = [np.flatnonzero(self._reach(self.low >= n - 1) > 1) for n in (5, 7)]
+            return np.concatenate(at), np.repeat([5, 7], [len(x) for x in at]), np.flatnonzero(self.low >= context(0))
+        c = context(k - 1)
+        run = self._reach(self.flags & _SHARED > 0)
+        a, b = np.flatnonzero(self.flags & _LEFT), np.flatnonzero(self.flags & _RIGHT)
+        first = np.searchsorted(b, a + 1)
+        size = np.maximum(np.searchsorted(b, a + np.minimum(run[a], 3 * c)) - first, 0)
+        at = np.repeat(a, size)
+        last = b[np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)]
+        return at, last - at + c, np.flatnonzero(run > 3 * c)
+
+    def hashes(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Beginnings, lengths and hashes of the runs of round k, beginnings and hashes of its contexts."""
+        at, n, begin = self.requests(k)
+        size = len(self.h)
+        power, inverse = T._power(T._MUL, size + 1), T._power(T._INV, size + 1)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(self.h * power[:size], out=total[1:])
+        c = context(k)
+        return at, n, T.mix((total[at + n] - total[at]) * inverse[at] + n.astype(np.uint64)), begin, T.mix((total[begin + c] - total[begin]) * inverse[begin] + np.uint64(c))
+
+    def asked(self, k: int, parts: int) -> list[tuple[int, bytes, bytes]]:
+        """(part of the index, hashes, what is known of each) of round k; contexts have parts of their own, after the others."""
+        at, _, key, begin, around = self.hashes(k)
+        key, first, order, _ = _grouped(key)
+        several = _differ(self.text[at][order], first)
+        out = [(part, encoded(key[i:j]), np.packbits(several[i:j]).tobytes()) for part, i, j in _ranges(key, parts)]
+        # the tokens on both sides of a context, in 32 bits; an end of a text or stretch is like no token
+        key, first, order, _ = _grouped(around)
+        begin = begin[order]
+        inner = np.concatenate([[False], self.stretch[1:] == self.stretch[:-1], [False]]) if len(self.h) else np.zeros(1, bool)
+        known = [_differ(self.text[begin], first)]
+        sides = []
+        for edge, token in ((begin, begin - 1), (begin + context(k), begin + context(k))):
+            side = np.where(inner[edge], self.h[token % max(1, len(self.h))] >> np.uint64(32), 0).astype(np.uint32) if len(begin) else np.zeros(0, np.uint32)
+            apart = _differ(side, first)
+            if len(first):
+                apart |= np.logical_or.reduceat(~inner[edge], first)
+            known.append(apart)
+            sides.append(side[first])
+        for part, i, j in _ranges(key, parts):
+            out.append((parts + part, encoded(key[i:j]), b"".join([np.packbits(x[i:j]).tobytes() for x in known] + [x[i:j].tobytes() for x in sides])))
+        return out
+
+    def answered(self, k: int, there: np.ndarray) -> Matches:
+        """After the answers to round k."""
+        at, n, key, begin, around = self.hashes(k)
+        runs, _, order, group = _grouped(key)
+        contexts, _, order_, group_ = _grouped(around)
+        if len(there) != len(runs) + len(contexts):
+            raise RuntimeError("answers don't fit the requests")
+        found = order[there[: len(runs)][group] > 0]
+        low, flags = self.low.copy(), np.zeros(len(self.h), np.uint8)
+        np.maximum.at(low, at[found], n[found].astype(np.int32))
+        flags[begin[order_]] = there[len(runs) :][group_]
+        low[flags & _SHARED > 0] = np.maximum(low[flags & _SHARED > 0], context(k))
+        return Matches(self.h, self.stretch, self.text, self.place, low, flags)
+
+    def left(self, k: int) -> tuple[Matches, bytes]:
+        """The stretches that shared contexts of round k cover, and the matches that begin elsewhere."""
+        cover = np.zeros(len(self.h) + 1, np.int32)
+        at = np.flatnonzero(self.flags & _SHARED)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + context(k), -1)
+        covered = np.cumsum(cover[:-1]) > 0
+        # a match that ends no later than one that begins before it follows from that one
+        end = (self.stretch.astype(np.int64) << 32) + np.arange(len(self.h)) + self.low
+        rest = np.flatnonzero(~covered & (end > np.concatenate([[-1], np.maximum.accumulate(end)[:-1]])) & (self.low > 1))
+        use = np.flatnonzero(covered)
+        apart = np.concatenate([[True], (np.diff(use) > 1) | (self.stretch[use[1:]] != self.stretch[use[:-1]])]) if len(use) else np.zeros(0, bool)
+        return Matches(self.h[use], np.cumsum(apart).astype(np.int32), self.text[use], self.place[use], self.low[use], self.flags[use]), _packed(gap=np.diff(self.place[rest], prepend=np.int32(0)), low=self.low[rest])
+
+    def packed(self) -> bytes:
+        begin = np.flatnonzero(np.concatenate([[True], self.stretch[1:] != self.stretch[:-1]])) if len(self.h) else np.zeros(0, np.int64)
+        words, code = np.unique(self.h, return_inverse=True)
+        return _packed(begin=begin, place=self.place[begin], text=self.text[begin], words=words, code=code.astype(np.int32), low=self.low, flags=self.flags)
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Matches:
+        x = _unpacked(raw)
+        size = np.diff(np.append(x["begin"], len(x["code"])))
+        stretch = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        place = (np.arange(len(stretch)) - x["begin"][stretch] + x["place"][stretch]).astype(np.int32)
+        return cls(x["words"][x["code"]], stretch, x["text"][stretch], place, x["low"], x["flags"])
+
+
+#: Of a context: two texts have it; it comes after different tokens; different tokens come after it.
+_SHARED, _LEFT, _RIGHT = 1, 2, 4
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, where each begins in the order that sorts them all, that order, and in that order which of the distinct ones each is."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    return key[new], np.flatnonzero(new), order, np.cumsum(new) - 1
+
+
+def _differ(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which groups have different values."""
+    return np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first) if len(first) else np.zeros(0, bool)
+
+
 #: All lengths, after 0 for a token without a run.
 _RUNGS = np.array([0, *(n for k in range(_WHOLE + 13) for n in lengths(k))], np.int32)
 
@@ -213,8 +341,11 @@ def decoded(raw: bytes) -> np.ndarray:
     return np.cumsum(gap.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _parts(key: np.ndarray, parts: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _ranges(key: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part of the index, begin, end) of ascending hashes."""
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+    return list(zip(part[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
 def _table(path: str, batch: int, columns: list[str]) -> pa.Table | None:
@@ -254,11 +385,15 @@ def _state(texts: str, told: list[str], batch: int) -> Stretches:
         s = Stretches.unpacked(_held(told[_WHOLE + 1], batch, _STRETCHES)[_STRETCHES])
     if told:
         s.resume(_held(told[-1], batch, _PROGRESS)[_PROGRESS])
-        answers = _held(told[-1], batch)
-        s.answer(len(told) - 1, np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in answers.values())]).astype(bool))
+        s.answer(len(told) - 1, _there(told[-1], batch).astype(bool))
     return s
 
 
+def _there(path: str, batch: int) -> np.ndarray:
+    """The answers to a round."""
+    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in _held(path, batch).values())])
+
+
 def _asked(texts: str, told: list[str], parts: int, batch: int) -> pa.RecordBatch:
     """The requests of the next round, one row a part of the index, and how far the batch is."""
     s = _state(texts, told, batch)
@@ -268,46 +403,73 @@ def _asked(texts: str, told: list[str], parts: int, batch: int) -> pa.RecordBatc
         rest = [(_STRETCHES, s.packed()), (_SETTLED, settled)]
     rest.append((_PROGRESS, s.progress()))
     key, several, *_ = s.distinct(len(told))
-    part = _parts(key, parts)
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-    ranges = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    return _rows(batch, [(part, encoded(key[i:j]), np.packbits(several[i:j]).tobytes()) for part, i, j in _ranges(key, parts)], rest)
+
+
+def _matched(texts: str, told: list[str], tried: list[str], parts: int, batch: int) -> pa.RecordBatch:
+    """The requests of the next round of the matches, the stretches that are left and the matches that are known elsewhere."""
+    k = len(tried)
+    if k > 1:
+        s = Matches.unpacked(_held(tried[-1], batch, _STRETCHES)[_STRETCHES])
+    else:  # whole texts, which no round carries along
+        x = _state(texts, told, batch)
+        s = Matches(x.h, x.stretch, x.text, x.place, x.longest, np.zeros(len(x.h), np.uint8))
+    if not k:
+        return _rows(batch, s.asked(k, parts), [])
+    s, settled = s.answered(k - 1, _there(tried[-1], batch)).left(k - 1)
+    return _rows(batch, s.asked(k, parts), [(_STRETCHES, s.packed()), (_SETTLED, settled)])
+
+
+def _rows(batch: int, asked: list[tuple[int, bytes, bytes]], rest: list[tuple[int, bytes]]) -> pa.RecordBatch:
     columns = [
-        pa.array([batch] * (len(ranges) + len(rest)), pa.int32()),
-        pa.array([*(int(part[a]) for a, _ in ranges), *(x for x, _ in rest)], pa.int32()),
-        pa.array([*(int(part[a]) for a, _ in ranges), *(-1 - batch for _ in rest)], pa.int32()),
-        pa.array([*(encoded(key[a:b]) for a, b in ranges), *(x for _, x in rest)], pa.binary()),
-        pa.array([*(np.packbits(several[a:b]).tobytes() for a, b in ranges), *(None for _ in rest)], pa.binary()),
+        pa.array([batch] * (len(asked) + len(rest)), pa.int32()),
+        pa.array([*(x for x, _, _ in asked), *(x for x, _ in rest)], pa.int32()),
+        pa.array([*(x for x, _, _ in asked), *(-1 - batch for _ in rest)], pa.int32()),
+        pa.array([*(x for _, x, _ in asked), *(x for _, x in rest)], pa.binary()),
+        pa.array([*(x for _, _, x in asked), *(None for _ in rest)], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["batch", "part", "to", "body", "several"])
 
 
-def _answers(group: pa.Table) -> pa.Table:
-    """A part of the index: which of the hashes asked for by each batch two texts have. Rows that ask for nothing stay."""
+def _answers(group: pa.Table, parts: int) -> pa.Table:
+    """A part of the index: which of the hashes asked for by each batch two texts have, and of contexts which sides differ. Rows that ask for nothing stay."""
     if group["part"][0].as_py() < 0:
         return group.select(["batch", "part", "body"])
+    contexts = group["part"][0].as_py() >= parts
     keys = [decoded(x) for x in group["body"].to_pylist()]
     sizes = [len(x) for x in keys]
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group["several"].to_pylist(), sizes, strict=True)])
+    known = list(zip(group["several"].to_pylist(), sizes, strict=True))
+    bits = lambda i: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, -(-n // 8), i * -(-n // 8)), count=n) for x, n in known])[order]
     key = np.concatenate(keys)
-    order = np.argsort(key)
-    sorted_ = key[order]
-    first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-    there = np.add.reduceat(several[order].astype(np.int64) + 1, np.flatnonzero(first)) > 1
+    _, first, order, group_ = _grouped(key)
+    there = (np.add.reduceat(bits(0).astype(np.int64) + 1, first) > 1).astype(np.uint8)
+    if contexts:
+        for i, flag in enumerate((_LEFT, _RIGHT)):
+            side = np.concatenate([np.frombuffer(x, np.uint32, n, 3 * -(-n // 8) + 4 * i * n) for x, n in known])[order]
+            there |= np.where(there & _SHARED, flag * (_differ(side, first) | (np.maximum.reduceat(bits(1 + i), first) > 0)), 0).astype(np.uint8)
     out = np.empty(len(key), np.uint8)
-    out[order] = there[np.cumsum(first) - 1]
+    out[order] = there[group_]
     return pa.table([group["batch"], group["part"], pa.array([x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])], pa.binary())], names=["batch", "part", "body"])
 
 
-def _scores(texts: str, told: list[str], batch: int) -> pa.RecordBatch | None:
+def _scores(texts: str, told: list[str], tried: list[str], batch: int) -> pa.RecordBatch | None:
     """(h1, h2, tokens, phrases, own) of a batch's texts."""
     row, h, held = _tokens(texts, batch)
     if held is None:
         return None
-    s = _state(texts, told, batch)
     longest = np.zeros(len(h), np.int32)
-    if len(told) > _WHOLE + 1:
-        longest = _RUNGS[_unpacked(_held(told[_WHOLE + 1], batch, _SETTLED)[_SETTLED])["rung"]]
-    longest[s.place] = s.longest
+    if tried:
+        for path in tried[1:]:
+            x = _unpacked(_held(path, batch, _SETTLED)[_SETTLED])
+            place = np.cumsum(x["gap"])
+            longest[place] = np.maximum(longest[place], x["low"])
+        end = np.maximum.accumulate(np.arange(len(h)) + longest) if len(h) else np.zeros(0, np.int64)  # no match ends in the next text
+        longest = end - np.arange(len(h))
+    else:
+        s = _state(texts, told, batch)
+        if len(told) > _WHOLE + 1:
+            longest = _RUNGS[_unpacked(_held(told[_WHOLE + 1], batch, _SETTLED)[_SETTLED])["rung"]]
+        longest[s.place] = s.longest
     at = np.searchsorted(row, np.arange(held.num_rows + 1)).tolist()
     n, c, own = [], [], []
     for a, b in zip(at[:-1], at[1:], strict=True):
@@ -329,8 +491,8 @@ def _once(batches):
         yield batch.filter(pa.array(fresh))
 
 
-def score(docs: DataFrame, batch: int = BATCH) -> DataFrame:
-    """(doc_id, tokens, phrases, cross_entropy, relative_entropy) for every row."""
+def score(docs: DataFrame, batch: int = BATCH, exact: bool = False) -> DataFrame:
+    """(doc_id, tokens, phrases, cross_entropy, relative_entropy) for every row; if exact, phrases are the longest matches, else the longest of the ladder's lengths."""
     spark = docs.sparkSession
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lower(docs["text"]).alias("text"))
     text = text.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
@@ -355,20 +517,28 @@ def score(docs: DataFrame, batch: int = BATCH) -> DataFrame:
 
         return run
 
-    told: list[str] = []
-    while True:
-        path = f"{folder}/told-{len(told)}"
-        asked = batches.mapInArrow(each(_asked, texts, list(told), parts), "batch int, part int, to int, body binary, several binary")
-        answered = asked.groupBy("to").applyInArrow(_answers, "batch int, part int, body binary")
-        answered.repartition("batch").write.partitionBy("batch").option("compression", "zstd").parquet(path)
-        del asked, answered
+    def answered(path: str, f, *args) -> bool:
+        """Write the answers to a round; whether anything was asked for."""
+        asked = batches.mapInArrow(each(f, *args), "batch int, part int, to int, body binary, several binary")
+        out = asked.groupBy("to").applyInArrow(lambda group: _answers(group, parts), "batch int, part int, body binary")
+        out.repartition("batch").write.partitionBy("batch").option("compression", "zstd").parquet(path)
+        del asked, out
         _tidy(spark)
-        told.append(path)
-        if spark.read.schema("batch int, part int, body binary").parquet(path).where("part >= 0").isEmpty():
-            break
-        if len(told) > 1 and len(told) != _WHOLE + 3:  # that one has the stretches
+        return not spark.read.schema("batch int, part int, body binary").parquet(path).where("part >= 0").isEmpty()
+
+    told: list[str] = []
+    more = True
+    while more and not (exact and len(told) > _WHOLE):
+        told.append(f"{folder}/told-{len(told)}")
+        more = answered(told[-1], _asked, texts, told[:-1], parts)
+        if more and len(told) > 1 and len(told) != _WHOLE + 3:  # that one has the stretches
             _drop(spark, told[-2])
-    scores = spill(batches.mapInArrow(each(_scores, texts, told), "h1 long, h2 long, tokens long, phrases long, own long"))
+    tried: list[str] = []
+    more = exact
+    while more or len(tried) == 1:  # what the first round knows is in the second
+        tried.append(f"{folder}/tried-{len(tried)}")
+        more = answered(tried[-1], _matched, texts, told, tried[:-1], parts)
+    scores = spill(batches.mapInArrow(each(_scores, texts, told, tried), "h1 long, h2 long, tokens long, phrases long, own long"))
     _drop(spark, folder)
     m = scores.agg(F.sum("tokens")).first()[0] or 0
     copies = ids.where("h1 is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))

@@ -44,7 +44,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    return lm_score.score(table(spark, sf_dir, "documents"), exact=True)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

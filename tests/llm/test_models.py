@@ -107,6 +107,34 @@ def test_scores_against_brute_force(spark):
                 assert got[i]["cross_entropy"] is None and got[i]["relative_entropy"] is None
 
 
+def test_phrases_are_the_longest_matches(spark):
+    """Of every length, not only the ladder's: copies with changes, runs of 5, 7, 9, ... tokens that another text has, by brute force over all lengths."""
+    dice = random.Random(6)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    base = new(900)
+    split = [base, base[:431] + new(1) + base[432:], base[77:640] + new(3)]
+    split += [new(2) + base[at : at + n] + new(2) + base[at + 3 : at + 3 + n] for n, at in ((5, 3), (7, 40), (9, 90), (11, 140), (13, 700), (47, 300), (95, 500), (200, 650))]
+    split += [[f"v{dice.randrange(3)}" for _ in range(dice.randrange(1, 60))] for _ in range(40)]
+    texts = [" ".join(x) for x in split]
+    assert len(set(texts)) == len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = [f" {t} " for t in texts]
+
+    def slow(i):
+        at = phrases = 0
+        while at < len(split[i]):
+            n = 1
+            while at + n < len(split[i]) and any(" " + " ".join(split[i][at : at + n + 1]) + " " in u for j, u in enumerate(marked) if j != i):
+                n += 1
+            at, phrases = at + n, phrases + 1
+        return phrases
+
+    truth = {i: slow(i) for i in range(len(texts))}
+    for size in (2000, 1 << 20):
+        assert {r["doc_id"]: r["phrases"] for r in lm_score.score(docs, batch=size, exact=True).collect()} == truth
+
+
 def test_scores_tell_text_from_noise(spark):
     dice = random.Random(2)
     sentences = ["the old man went to the sea", "a dog ran over the green hill", "rain fell on the quiet town"]
