@@ -7,17 +7,17 @@ fingerprints differ in at most ``most`` bits (48: 15 %).
 The bits form a ring of 16 segments of 20 bits. If two fingerprints differ in at
 most ``most`` bits, then the ring has a start from which every chain of l
 consecutive segments differs in at most l * most / 16 bits (the pigeonring
-principle). A document meets those that agree with it in a segment or differ in one
-bit of it (``PROBED``); of these pairs a start is required that keeps its budget, chain
-length by chain length, before the full Hamming check. Up to 31 differing bits every
-pair has such a segment, so the search is complete; from 32 to 48 bits, where the
-principle's first step allows up to 3 bits, a few pairs lie in no probed segment
-(4 % of those at 48 bits, less below).
+principle). A document meets those that differ from it in at most two bits of a
+segment (``PROBED``); of these pairs a start is required that keeps its budget, chain
+length by chain length, before the full Hamming check. A pair of at most 48 bits that
+meets in no segment differs in 3 bits of each; so the parities of all its segments
+differ, and it meets among documents of opposite parities. So every pair is found.
 
 A task holds the segments of one place on the ring that begin with the same
-``TOP`` bits, and those that lead there by one of these bits; so a document is sent to
-2.5 tasks a segment on average, and other one-bit neighbours are looked up within the
-task. Pairs that are in one group already aren't compared again: each task gives
+``TOP`` bits, and those that lead there by one or two of these bits; so a document is
+sent to 3.25 tasks a segment on average, and other neighbours are looked up within the
+task: those of one bit as such, those of two where both have a neighbour of one bit in
+common. Pairs that are in one group already aren't compared again: each task gives
 edges that span its groups, not all pairs, and a bucket of many copies costs time
 in proportion to its size. Nothing is capped or dropped.
 
@@ -42,7 +42,7 @@ SEGMENTS, HALF = 16, 10
 BITS = SEGMENTS * HALF * 2
 MOST = 48
 #: Bits of a segment that may differ where two documents meet.
-PROBED = 1
+PROBED = 2
 #: Leading bits of a segment that settle the task; more for more than 2 ** 20 documents.
 TOP = 3
 _PAIRS = 1 << 17
@@ -108,6 +108,13 @@ def segments(half: np.ndarray) -> np.ndarray:
     return half[:, 0::2].astype(np.int64) | (half[:, 1::2].astype(np.int64) << HALF)
 
 
+def parity(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of segments the parities of all but the first, alike in rows all of whose parities differ; and the first's, by which these are told apart."""
+    odd = np.bitwise_count(value) & 1
+    side = odd[:, 0] > 0
+    return ((odd[:, 1:] ^ side[:, None]).astype(np.int64) << np.arange(SEGMENTS - 1)).sum(axis=1), side
+
+
 def chained(a: np.ndarray, b: np.ndarray, most: int = MOST) -> np.ndarray:
     """Which of the pairs of half segments (n, 32) differ in at most ``most`` bits, by chains of growing length."""
     d = np.bitwise_count(a ^ b)
@@ -161,54 +168,92 @@ def linked(value: np.ndarray, home: np.ndarray, target: np.ndarray, half: np.nda
 
     value: the rows' segments; home: which rows others are compared with; target: of
     the other rows the segment they are compared with. Rows at home are compared with
-    those of their own segment and of those that differ in one of the ``low`` low bits.
+    those of their own segment and of those that differ in one or two of the ``low`` low
+    bits; others with those at home that differ from them in up to two bits, and with
+    each other where they differ in two of the high ones.
     """
     groups = Joined(len(value))
     at_home = np.flatnonzero(home)
+    bit = 1 << np.arange(low)
     # rows by their rank among rows alike: the first of every bucket go first and join most of it
-    order = np.lexsort((target, home))
-    new = np.concatenate([[True], (target[order][1:] != target[order][:-1]) | (home[order][1:] != home[order][:-1])])
-    rank = np.empty(len(value), np.int64)
-    rank[order] = np.arange(len(value)) - np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
-    out_a, out_b = [], []
+    rank = _ranks((target << 1) | home)
+    out = []
     for k in range(int(rank.max()).bit_length() + 1):
         now = np.flatnonzero((rank >= (1 << k) >> 1) & (rank < 1 << k))
-        key = (value[at_home] << 32) | groups.label[at_home]
-        sort = np.argsort(key, kind="stable")
-        key, member = key[sort], at_home[sort]
         mine = now[home[now]]
         rows, to = [now], [target[now]]
-        for bit in range(low):
-            low_row = mine[(value[mine] >> bit) & 1 == 0] if k == 0 else mine
+        for b in range(low):
+            low_row = mine[(value[mine] >> b) & 1 == 0] if k == 0 else mine
             rows.append(low_row)
-            to.append(value[low_row] ^ (1 << bit))
-        row, to = np.concatenate(rows), np.concatenate(to)
-        own = (to << 32) | groups.label[row]
-        cut = [np.searchsorted(key, x) for x in (to << 32, own, own + 1, (to + 1) << 32)]
-        row = np.concatenate([row, row])
-        first, size = np.concatenate([cut[0], cut[2]]), np.concatenate([cut[1] - cut[0], cut[3] - cut[2]])
-        row, first, size = row[size > 0], first[size > 0], size[size > 0]
-        done = np.concatenate([[0], np.cumsum(size)])
-        i = 0
-        while i < len(row):
-            j = max(i + 1, int(np.searchsorted(done, done[i] + _PAIRS, "right")) - 1)
-            a = np.repeat(row[i:j], size[i:j])
-            b = member[np.arange(len(a)) - np.repeat(done[i:j] - done[i], size[i:j]) + np.repeat(first[i:j], size[i:j])]
-            i = j
-            apart = groups.label[a] != groups.label[b]
-            a, b = a[apart], b[apart]
-            near = chained(half[a], half[b], most)
-            if len(near):
-                a, b = a[near], b[near]
-                use = groups.join(a, b)
-                out_a.append(a[use])
-                out_b.append(b[use])
+            to.append(value[low_row] ^ (1 << b))
+        out += _compared(np.concatenate(rows), np.concatenate(to), at_home, value[at_home], groups, half, most)
+    # two rows two bits apart meet where each is one bit away
+    beside = np.flatnonzero(~home & (np.bitwise_count((value ^ target) >> low) == 1))
+    row = np.concatenate([np.repeat(at_home, low), beside])
+    to = np.concatenate([(value[at_home][:, None] ^ bit).ravel(), target[beside]])
+    rank = _ranks(to)
+    for k in range(int(rank.max()).bit_length() + 1 if len(rank) else 0):
+        now = np.flatnonzero((rank >= (1 << k) >> 1) & (rank < 1 << k))
+        seen = np.flatnonzero(rank < 1 << k) if k else now[:0]  # each pair once: with those of lesser or like rank
+        out += _compared(row[now], to[now], row[seen], to[seen], groups, half, most)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(a for a, _ in out)]), np.concatenate([none, *(b for _, b in out)])
+
+
+def opposed(key: np.ndarray, side: np.ndarray, half: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the groups of near copies among rows of the same key on different sides."""
+    groups = Joined(len(key))
+    there = np.flatnonzero(side)
+    rank = _ranks((key << 1) | side)
+    out = []
+    for k in range(int(rank.max()).bit_length() + 1):
+        now = np.flatnonzero(~side & (rank >= (1 << k) >> 1) & (rank < 1 << k))
+        out += _compared(now, key[now], there, key[there], groups, half, most)
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+    return np.concatenate([none, *(a for a, _ in out)]), np.concatenate([none, *(b for _, b in out)])
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Of each row how many rows before it have its key."""
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, bool)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return rank
+
+
+def _compared(row: np.ndarray, to: np.ndarray, member: np.ndarray, held: np.ndarray, groups: Joined, half: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that join groups, of rows with the members held where they look, as far as those are of other groups."""
+    key = (held << 32) | groups.label[member]
+    sort = np.argsort(key, kind="stable")
+    key, member = key[sort], member[sort]
+    own = (to << 32) | groups.label[row]
+    cut = [np.searchsorted(key, x) for x in (to << 32, own, own + 1, (to + 1) << 32)]
+    row = np.concatenate([row, row])
+    first, size = np.concatenate([cut[0], cut[2]]), np.concatenate([cut[1] - cut[0], cut[3] - cut[2]])
+    row, first, size = row[size > 0], first[size > 0], size[size > 0]
+    done = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    i = 0
+    while i < len(row):
+        j = max(i + 1, int(np.searchsorted(done, done[i] + _PAIRS, "right")) - 1)
+        a = np.repeat(row[i:j], size[i:j])
+        b = member[np.arange(len(a)) - np.repeat(done[i:j] - done[i], size[i:j]) + np.repeat(first[i:j], size[i:j])]
+        i = j
+        apart = groups.label[a] != groups.label[b]
+        a, b = a[apart], b[apart]
+        near = chained(half[a], half[b], most)
+        if len(near):
+            a, b = a[near], b[near]
+            use = groups.join(a, b)
+            out.append((a[use], b[use]))
+    return out
 
 
 def near_edges(prints: DataFrame, most: int = MOST, top: int | None = None) -> DataFrame:
     """(a, b): edges between near copies among rows of distinct fingerprints (doc_id, f0 .. f4); they span the groups that all near pairs found would give."""
+    if most > 3 * SEGMENTS:
+        raise ValueError(f"pairs of more than {3 * SEGMENTS} bits may meet nowhere")
     if top is None:
         top = max(TOP, (prints.count() >> 20).bit_length() + TOP)
     fields = "doc_id long, " + ", ".join(f"f{k} long" for k in range(_WORDS))
@@ -221,10 +266,13 @@ def near_edges(prints: DataFrame, most: int = MOST, top: int | None = None) -> D
                 value = segments(halves(np.stack([piece.column(f"f{k}").to_numpy() for k in range(_WORDS)], axis=1)))
                 part = (np.arange(SEGMENTS) << top) | (value >> low)
                 row, parts = [np.repeat(np.arange(piece.num_rows), SEGMENTS)], [part.ravel()]
-                for bit in range(top):  # of two neighbours the one with a 0 visits the other
-                    r, s = np.nonzero((part >> bit) & 1 == 0)
-                    row.append(r)
-                    parts.append(part[r, s] | (1 << bit))
+                for i in range(top):  # of two neighbours the one with a 0 visits the other
+                    for bit in {1 << i} | {1 << i | 1 << j for j in range(i)}:
+                        r, s = np.nonzero(part & bit == 0)
+                        row.append(r)
+                        parts.append(part[r, s] | bit)
+                row.append(np.arange(piece.num_rows))
+                parts.append(SEGMENTS << top | parity(value)[0] >> (SEGMENTS - 1 - top))
                 take = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).astype(np.int32)), *(piece.column(c).take(take) for c in piece.schema.names)], ["part", *piece.schema.names])
 
@@ -232,6 +280,9 @@ def near_edges(prints: DataFrame, most: int = MOST, top: int | None = None) -> D
         part, doc = group["part"][0].as_py(), group["doc_id"].to_numpy()
         half = halves(np.stack([group[f"f{k}"].to_numpy() for k in range(_WORDS)], axis=1))
         here = part >> top
+        if here == SEGMENTS:
+            a, b = opposed(*parity(segments(half)), half, most)
+            return pa.table([pa.array(doc[a]), pa.array(doc[b])], names=["a", "b"])
         value = segments(half[:, 2 * here : 2 * here + 2])[:, 0]
         begin = (part & ((1 << top) - 1)) << low
         target = begin | (value & ((1 << low) - 1))

@@ -130,3 +130,28 @@ def test_many_copies_and_order(spark):
     dice.shuffle(rows)
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
     assert {(r["doc_id"], r["duplicate_of"]) for r in got} == {(i, 0) for i in range(1, 300)}
+
+
+def test_every_pair_up_to_the_threshold_is_linked(spark):
+    """Pairs of 48 bits, and of fewer, wherever in the segments their bits lie: 3 in every one, 2 in every one but for some, or at random."""
+    dice = np.random.default_rng(8)
+    rows = []
+    for i in range(1200):
+        a = dice.integers(0, 2, simhash.BITS, dtype=np.uint8)
+        b = a.copy()
+        if i % 3 == 0:
+            counts = np.full(16, 3)
+        elif i % 3 == 1:  # two bits in one segment, three or more in all others but those that make up for more
+            counts = np.full(16, 3)
+            counts[dice.integers(16)] -= 1
+            counts[dice.choice(16, 2, replace=False)] += [1, -1] if i % 2 else [0, 0]
+        else:
+            counts = np.bincount(dice.integers(0, 16, dice.integers(32, 49)), minlength=16)
+        for s, n in enumerate(counts):
+            b[s * 20 + dice.choice(20, n, replace=False)] ^= 1
+        assert (a != b).sum() <= simhash.MOST
+        rows += [(2 * i + j, *np.packbits(x).view(np.int64).tolist()) for j, x in enumerate((a, b))]
+    prints = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"f{k} long" for k in range(5)))
+    for top in (None, 1, 6):
+        got = {(min(r), max(r)) for r in map(tuple, simhash.near_edges(prints, top=top).collect())}
+        assert got == {(2 * i, 2 * i + 1) for i in range(1200)}
