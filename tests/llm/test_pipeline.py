@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from bough.llm import shared
+from bough.llm import shared, simhash
 
 
 def test_stages(spark, tmp_path, odd, none):
@@ -44,3 +47,22 @@ def test_known_outcome(spark, tmp_path):
     assert not {i for i, _ in leaked} & ids[3] and {i for i, _ in clean} <= ids[3]
     assert 20 <= len(ids[4]) <= 40
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
+
+
+def test_near_copies_that_agree_in_no_segment_go(spark, make):
+    """Texts whose fingerprints differ in at most 48 bits, but in two or more of every segment: the third stage keeps one of each pair."""
+    dice = random.Random(12)
+    pairs = []
+    while len(pairs) < 20:
+        base = [f"b{dice.randrange(10**9)}" for _ in range(150)]
+        texts = [" ".join(base)]
+        for _ in range(200):
+            copy = list(base)
+            for k in dice.sample(range(150), 12):
+                copy[k] = f"n{dice.randrange(10**9)}"
+            texts.append(" ".join(copy))
+        half = simhash.halves(simhash.fingerprints(pa.array(texts))[1].view(np.int64))
+        bits = np.bitwise_count(simhash.segments(half[1:]) ^ simhash.segments(half[:1]))
+        pairs += [(texts[0], texts[1 + i]) for i in np.flatnonzero((bits.sum(axis=1) <= simhash.MOST) & (bits.min(axis=1) >= 2))[:1]]
+    docs = make([(2 * i + j, t, "en", "a") for i, pair in enumerate(pairs) for j, t in enumerate(pair)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == list(range(0, 40, 2))
