@@ -29,15 +29,16 @@ Without ``exact`` only lengths of a ladder are looked up: 2, 3, 4, 6, 8, 12, 16,
 48, ...: a longer match counts as the rungs that it is made of (a run of 1,000 tokens as
 768, 192, 32 and 8).
 
-How it works. Distinct texts are dealt by hash to batches of about ``BATCH`` bytes. In
-each round every batch asks for the distinct runs of the round's lengths that may
-occur elsewhere (all of whose parts of the length before do); a request goes to the
-part of the index that its hash belongs to, and comes back with one bit: whether a
-second text asked for the same run. A batch asks for a run once however often it
-holds it, so no run, document or group of copies makes a group that grows with the
-corpus. After length 8 only the stretches that are shared are carried on. Rounds end
-when nothing is left to ask for; their number grows with the logarithm of the longest
-shared run. 64-bit hashes stand for runs, and 32 bits for the tokens beside a context.
+How it works. Distinct texts are dealt by hash to batches of about ``BATCH`` bytes and
+kept as tokens, which every round reads. In each round every batch asks for the distinct
+runs of the round's lengths that may occur elsewhere (all of whose parts of the length
+before do); a request goes to the part of the index that its hash belongs to, and comes
+back with one bit: whether a second text asked for the same run. A batch asks for a run
+once however often it holds it, so no run, document or group of copies makes a group
+that grows with the corpus. After length 8 only the stretches that are shared are
+carried on. Rounds end when nothing is left to ask for; their number grows with the
+logarithm of the longest shared run. 64-bit hashes stand for runs, and 32 bits for the
+tokens beside a context.
 
 Edge cases: a text that is null or has no tokens has null scores, and 0 phrases. A
 text that occurs in several rows occurs in another document as a whole: it is one
@@ -96,7 +97,8 @@ def own_phrases(tokens: list[int]) -> int:
 def parsed(longest: list[int]) -> int:
     """Phrases of the greedy parsing, from the longest match that starts at each token."""
     at = phrases = 0
-    while at < len(longest):
+    end = len(longest)
+    while at < end:
         at += longest[at] or 1
         phrases += 1
     return phrases
@@ -116,10 +118,7 @@ class Stretches:
         """(length, places of the runs, their hashes) of round k."""
         known = lengths(k - 1)[-1] if k else 1
         size = len(self.h)
-        # of each token how many tokens from it on are alive, within its stretch
-        stop = np.flatnonzero(np.concatenate([~self.alive[1:] | (self.stretch[1:] != self.stretch[:-1]), [True]])) if size else np.zeros(0, np.int64)
-        run = stop[np.searchsorted(stop, np.arange(size))] - np.arange(size) + 1 if size else np.zeros(0, np.int64)
-        run[~self.alive] = 0
+        run = _reach(self.alive, self.stretch)
         power, inverse = T._power(T._MUL, size + 1), T._power(T._INV, size + 1)
         total = np.zeros(size + 1, np.uint64)
         np.cumsum(self.h * power[:size], out=total[1:])
@@ -133,7 +132,7 @@ class Stretches:
         """The distinct hashes of round k, ascending, and which of them two texts of this batch have; then what fits answers to the runs."""
         asked = self.requests(k)
         key, first, order, group = _grouped(np.concatenate([x for _, _, x in asked]))
-        return key, _differ(np.concatenate([self.text[at] for _, at, _ in asked])[order], first), [(n, at) for n, at, _ in asked], order, group
+        return key, _several(self.text, np.concatenate([at for _, at, _ in asked]), order, first), [(n, at) for n, at, _ in asked], order, group
 
     def answer(self, k: int, there: np.ndarray) -> None:
         """Take in which of the distinct hashes of round k occur elsewhere."""
@@ -163,8 +162,7 @@ class Stretches:
 
     def packed(self) -> bytes:
         begin = np.flatnonzero(np.concatenate([[True], self.stretch[1:] != self.stretch[:-1]])) if len(self.h) else np.zeros(0, np.int64)
-        words, code = np.unique(self.h, return_inverse=True)
-        return _packed(begin=begin, size=np.array([len(self.h)]), place=self.place[begin], text=self.text[begin], words=words, code=code.astype(np.int32))
+        return _packed(begin=begin, size=np.array([len(self.h)]), place=self.place[begin], text=self.text[begin], **_coded(self.h))
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Stretches:
@@ -172,7 +170,7 @@ class Stretches:
         size = np.diff(np.append(x["begin"], x["size"]))
         stretch = np.repeat(np.arange(len(size), dtype=np.int32), size)
         place = (np.arange(len(stretch)) - x["begin"][stretch] + x["place"][stretch]).astype(np.int32)
-        return cls(x["words"][x["code"]], stretch, x["text"][stretch], place, np.zeros(len(stretch), np.int32), np.ones(len(stretch), bool))
+        return cls(x["words"][_codes(x)], stretch, x["text"][stretch], place, np.zeros(len(stretch), np.int32), np.ones(len(stretch), bool))
 
     def progress(self) -> bytes:
         return _packed(rung=_rung(self.longest), alive=np.packbits(self.alive))
@@ -193,25 +191,17 @@ class Matches:
     def __init__(self, h: np.ndarray, stretch: np.ndarray, text: np.ndarray, place: np.ndarray, low: np.ndarray, flags: np.ndarray):
         self.h, self.stretch, self.text, self.place, self.low, self.flags = h, stretch, text, place, low, flags
 
-    def _reach(self, alive: np.ndarray) -> np.ndarray:
-        """Of each token how many tokens from it on are alive, within its stretch."""
-        if not len(alive):
-            return np.zeros(0, np.int64)
-        stop = np.flatnonzero(np.concatenate([~alive[1:] | (self.stretch[1:] != self.stretch[:-1]), [True]]))
-        run = stop[np.searchsorted(stop, np.arange(len(alive)))] - np.arange(len(alive)) + 1
-        run[~alive] = 0
-        return run
-
     def requests(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Beginnings and lengths of the runs that round k asks for, and beginnings of its contexts."""
         if k == 0:
-            at = [np.flatnonzero(self._reach(self.low >= n - 1) > 1) for n in (5, 7)]
+            at = [np.flatnonzero(_reach(self.low >= n - 1, self.stretch) > 1) for n in (5, 7)]
             return np.concatenate(at), np.repeat([5, 7], [len(x) for x in at]), np.flatnonzero(self.low >= context(0))
         c = context(k - 1)
-        run = self._reach(self.flags & _SHARED > 0)
+        run = _reach(self.flags & _SHARED > 0, self.stretch)
         a, b = np.flatnonzero(self.flags & _LEFT), np.flatnonzero(self.flags & _RIGHT)
-        first = np.searchsorted(b, a + 1)
-        size = np.maximum(np.searchsorted(b, a + np.minimum(run[a], 3 * c)) - first, 0)
+        before = np.concatenate([[0], np.cumsum(self.flags & _RIGHT > 0)])
+        first = before[a + 1]
+        size = np.maximum(before[a + np.minimum(run[a], 3 * c)] - first, 0)
         at = np.repeat(a, size)
         last = b[np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)]
         return at, last - at + c, np.flatnonzero(run > 3 * c)
@@ -230,13 +220,13 @@ class Matches:
         """(part of the index, hashes, what is known of each) of round k; contexts have parts of their own, after the others."""
         at, _, key, begin, around = self.hashes(k)
         key, first, order, _ = _grouped(key)
-        several = _differ(self.text[at][order], first)
+        several = _several(self.text, at, order, first)
         out = [(part, encoded(key[i:j]), np.packbits(several[i:j]).tobytes()) for part, i, j in _ranges(key, parts)]
         # the tokens on both sides of a context, in 32 bits; an end of a text or stretch is like no token
         key, first, order, _ = _grouped(around)
+        known = [_several(self.text, begin, order, first)]
         begin = begin[order]
         inner = np.concatenate([[False], self.stretch[1:] == self.stretch[:-1], [False]]) if len(self.h) else np.zeros(1, bool)
-        known = [_differ(self.text[begin], first)]
         sides = []
         for edge, token in ((begin, begin - 1), (begin + context(k), begin + context(k))):
             side = np.where(inner[edge], self.h[token % max(1, len(self.h))] >> np.uint64(32), 0).astype(np.uint32) if len(begin) else np.zeros(0, np.uint32)
@@ -279,26 +269,46 @@ class Matches:
 
     def packed(self) -> bytes:
         begin = np.flatnonzero(np.concatenate([[True], self.stretch[1:] != self.stretch[:-1]])) if len(self.h) else np.zeros(0, np.int64)
-        words, code = np.unique(self.h, return_inverse=True)
-        return _packed(begin=begin, place=self.place[begin], text=self.text[begin], words=words, code=code.astype(np.int32), low=self.low, flags=self.flags)
+        return _packed(begin=begin, place=self.place[begin], text=self.text[begin], low=self.low, flags=self.flags, **_coded(self.h))
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Matches:
         x = _unpacked(raw)
-        size = np.diff(np.append(x["begin"], len(x["code"])))
+        size = np.diff(np.append(x["begin"], len(x["low"])))
         stretch = np.repeat(np.arange(len(size), dtype=np.int32), size)
         place = (np.arange(len(stretch)) - x["begin"][stretch] + x["place"][stretch]).astype(np.int32)
-        return cls(x["words"][x["code"]], stretch, x["text"][stretch], place, x["low"], x["flags"])
+        return cls(x["words"][_codes(x)], stretch, x["text"][stretch], place, x["low"], x["flags"])
 
 
 #: Of a context: two texts have it; it comes after different tokens; different tokens come after it.
 _SHARED, _LEFT, _RIGHT = 1, 2, 4
 
 
+def _reach(alive: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Of each token how many tokens from it on are alive, within its stretch."""
+    if not len(alive):
+        return np.zeros(0, np.int64)
+    stop = np.flatnonzero(np.concatenate([~alive[1:] | (stretch[1:] != stretch[:-1]), [True]]))
+    run = np.repeat(stop + 1, np.diff(stop, prepend=-1)) - np.arange(len(alive))
+    run[~alive] = 0
+    return run
+
+
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct hashes, ascending, where each begins in the order that sorts them all, that order, and in that order which of the distinct ones each is."""
-    order = np.argsort(key)
-    key = key[order]
+    """The distinct hashes, ascending, where each begins in the order that sorts them all, that order (equal ones as they come), and in that order which of the distinct ones each is."""
+    if len(key):
+        # sorting values takes a fraction of argsort's time, so places stand in the low bits, as few of the hashes' as their range allows
+        least = key.min()
+        place = np.uint64((1 << (len(key) - 1).bit_length()) - 1)
+        order = (key - least << np.uint64(min(63, 64 - int(key.max() - least).bit_length()))) & ~place | np.arange(len(key), dtype=np.uint64)
+        order.sort()
+        order = (order & place).astype(np.int64)
+        key = key[order]
+        if (key[1:] < key[:-1]).any():  # some differ in those bits alone
+            again = np.argsort(key, kind="stable")
+            order, key = order[again], key[again]
+    else:
+        order = np.zeros(0, np.int64)
     new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     return key[new], np.flatnonzero(new), order, np.cumsum(new) - 1
 
@@ -308,6 +318,27 @@ def _differ(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first) if len(first) else np.zeros(0, bool)
 
 
+def _several(text: np.ndarray, at: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which groups have runs of different texts; texts ascend with the places of the runs, so a group's first and last tell."""
+    last = np.append(first[1:], len(order))[: len(first)] - 1
+    return text[at[order[first]]] != text[at[order[last]]]
+
+
+def _coded(h: np.ndarray) -> dict[str, np.ndarray]:
+    """Token hashes as the distinct ones, most frequent first, and the bytes of each token's number among them, least first."""
+    words, first, order, group = _grouped(h)
+    by = np.argsort(-np.diff(first, append=len(h)), kind="stable")
+    rank = np.empty(len(words), np.int32)
+    rank[by] = np.arange(len(words))
+    code = np.empty(len(h), np.int32)
+    code[order] = rank[group]
+    return {"words": words[by], "code": np.ascontiguousarray(code.view(np.uint8).reshape(-1, 4).T)}
+
+
+def _codes(x: dict[str, np.ndarray]) -> np.ndarray:
+    return np.ascontiguousarray(x["code"].T).view(np.int32).ravel()
+
+
 #: All lengths, after 0 for a token without a run.
 _RUNGS = np.array([0, *(n for k in range(_WHOLE + 13) for n in lengths(k))], np.int32)
 
@@ -355,13 +386,20 @@ def _table(path: str, batch: int, columns: list[str]) -> pa.Table | None:
     return pa.concat_tables([pq.read_table(f, columns=columns, filesystem=system, partitioning=None) for f in sorted(files)]) if files else None
 
 
-def _tokens(texts: str, batch: int) -> tuple[np.ndarray, np.ndarray, pa.Table | None]:
-    held = _table(texts, batch, ["text", "h1", "h2"])
+def _tokenized(group: pa.Table) -> pa.Table:
+    """A batch's texts as tokens, for all rounds."""
+    row, h = T.words(group["text"], classes=T.TOKENS)
+    body = _packed(h1=group["h1"].to_numpy(), h2=group["h2"].to_numpy(), size=np.bincount(row, minlength=group.num_rows), **_coded(h))
+    return pa.table([group["batch"][:1].combine_chunks(), pa.array([body], pa.binary())], names=["batch", "body"])
+
+
+def _tokens(texts: str, batch: int) -> tuple[np.ndarray, dict[str, np.ndarray]] | None:
+    """Which text each token of a batch belongs to, and what _tokenized packed."""
+    held = _table(texts, batch, ["body"])
     if held is None:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint64), None
-    held = held.sort_by([("h1", "ascending"), ("h2", "ascending")])
-    row, h = T.words(held["text"], classes=T.TOKENS)
-    return row, h, held
+        return None
+    x = _unpacked(held["body"][0].as_py())
+    return np.repeat(np.arange(len(x["size"]), dtype=np.int32), x["size"]), x
 
 
 #: Rows of a round's table that aren't answers: how far the batch was before the round; from the round after ``_WHOLE`` its stretches; what was found elsewhere.
@@ -379,8 +417,8 @@ def _held(path: str, batch: int, *parts: int) -> dict[int, bytes]:
 def _state(texts: str, told: list[str], batch: int) -> Stretches:
     """A batch after the rounds that were answered."""
     if len(told) <= _WHOLE + 1:
-        row, h, _ = _tokens(texts, batch)
-        s = Stretches.of(row, h)
+        row, x = _tokens(texts, batch) or (np.zeros(0, np.int32), None)
+        s = Stretches.of(row, x["words"][_codes(x)] if x else np.zeros(0, np.uint64))
     else:
         s = Stretches.unpacked(_held(told[_WHOLE + 1], batch, _STRETCHES)[_STRETCHES])
     if told:
@@ -442,7 +480,8 @@ def _answers(group: pa.Table, parts: int) -> pa.Table:
     bits = lambda i: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, -(-n // 8), i * -(-n // 8)), count=n) for x, n in known])[order]
     key = np.concatenate(keys)
     _, first, order, group_ = _grouped(key)
-    there = (np.add.reduceat(bits(0).astype(np.int64) + 1, first) > 1).astype(np.uint8)
+    there = (np.maximum.reduceat(bits(0), first) > 0).astype(np.uint8)
+    there[np.diff(first, append=len(key)) > 1] = 1
     if contexts:
         for i, flag in enumerate((_LEFT, _RIGHT)):
             side = np.concatenate([np.frombuffer(x, np.uint32, n, 3 * -(-n // 8) + 4 * i * n) for x, n in known])[order]
@@ -454,29 +493,30 @@ def _answers(group: pa.Table, parts: int) -> pa.Table:
 
 def _scores(texts: str, told: list[str], tried: list[str], batch: int) -> pa.RecordBatch | None:
     """(h1, h2, tokens, phrases, own) of a batch's texts."""
-    row, h, held = _tokens(texts, batch)
+    held = _tokens(texts, batch)
     if held is None:
         return None
-    longest = np.zeros(len(h), np.int32)
+    row, held = held
+    longest = np.zeros(len(row), np.int32)
     if tried:
         for path in tried[1:]:
             x = _unpacked(_held(path, batch, _SETTLED)[_SETTLED])
             place = np.cumsum(x["gap"])
             longest[place] = np.maximum(longest[place], x["low"])
-        end = np.maximum.accumulate(np.arange(len(h)) + longest) if len(h) else np.zeros(0, np.int64)  # no match ends in the next text
-        longest = end - np.arange(len(h))
+        end = np.maximum.accumulate(np.arange(len(row)) + longest) if len(row) else np.zeros(0, np.int64)  # no match ends in the next text
+        longest = end - np.arange(len(row))
     else:
         s = _state(texts, told, batch)
         if len(told) > _WHOLE + 1:
             longest = _RUNGS[_unpacked(_held(told[_WHOLE + 1], batch, _SETTLED)[_SETTLED])["rung"]]
         longest[s.place] = s.longest
-    at = np.searchsorted(row, np.arange(held.num_rows + 1)).tolist()
-    n, c, own = [], [], []
+    n, code = held["size"], _codes(held)
+    at = np.concatenate([[0], np.cumsum(n)]).tolist()
+    c, own = [], []
     for a, b in zip(at[:-1], at[1:], strict=True):
-        n.append(b - a)
         c.append(parsed(longest[a:b].tolist()))
-        own.append(own_phrases(h[a:b].tolist()))
-    return pa.RecordBatch.from_arrays([held["h1"].combine_chunks(), held["h2"].combine_chunks(), *(pa.array(x, pa.int64()) for x in (n, c, own))], ["h1", "h2", "tokens", "phrases", "own"])
+        own.append(own_phrases(code[a:b].tolist()))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (held["h1"], held["h2"], n, c, own)], ["h1", "h2", "tokens", "phrases", "own"])
 
 
 def _once(batches):
@@ -504,7 +544,9 @@ def score(docs: DataFrame, batch: int = BATCH, exact: bool = False) -> DataFrame
     key = F.pmod("h1", F.lit(parts)).cast("int").alias("batch")
     once = text.where("text is not null").select("h1", "h2", "text").mapInArrow(_once, "h1 long, h2 long, text string").select(key, "*")
     texts = f"{folder}/texts"
-    once.repartition("batch").dropDuplicates(["batch", "h1", "h2"]).write.partitionBy("batch").option("compression", "zstd").parquet(texts)
+    tokens = once.repartition("batch").dropDuplicates(["batch", "h1", "h2"]).groupBy("batch").applyInArrow(_tokenized, "batch int, body binary")
+    tokens.write.partitionBy("batch").option("compression", "none").parquet(texts)
+    del tokens
     _tidy(spark)
     batches = spark.range(0, parts, 1, parts)
 

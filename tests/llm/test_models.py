@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from bough.llm import language_id, lm_score, pii, quality_rules
@@ -135,6 +136,34 @@ def test_phrases_are_the_longest_matches(spark):
         assert {r["doc_id"]: r["phrases"] for r in lm_score.score(docs, batch=size, exact=True).collect()} == truth
 
 
+def test_groups_of_hashes():
+    """Ascending, equal ones as they come, also where hashes differ in their low bits alone; runs of several texts by the first and last of a group."""
+    dice = np.random.default_rng(8)
+    for key in (dice.integers(0, 1 << 64, 5000, np.uint64, False), dice.integers(0, 50, 5000).astype(np.uint64), np.uint64(1 << 63) + dice.integers(0, 9, 5000).astype(np.uint64), np.append(dice.integers(0, 9, 5000).astype(np.uint64), np.uint64((1 << 64) - 1)), np.full(7, (1 << 64) - 1, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)):
+        runs, first, order, group = lm_score._grouped(key)
+        assert (order == np.argsort(key, kind="stable")).all() and (runs[group] == key[order]).all()
+        assert (runs == np.unique(key)).all() and (first == np.unique(key[order], return_index=True)[1]).all()
+        text = np.sort(dice.integers(0, 40, len(key)))
+        assert (lm_score._several(text, np.arange(len(key)), order, first) == lm_score._differ(text[order], first)).all()
+        packed = lm_score._coded(key)
+        assert (packed["words"][lm_score._codes(packed)] == key).all()
+
+
+def test_texts_are_tokenized_once(tmp_path, monkeypatch):
+    """Rounds and scores read a batch's tokens, not its texts."""
+    texts = ["a b, c a b", "", "a b, d", "!?"]
+    group = pa.table({"batch": pa.array([0] * 4, pa.int32()), "h1": [5, 6, 7, 8], "h2": [1, 2, 3, 4], "text": texts})
+    (tmp_path / "batch=0").mkdir()
+    pq.write_table(lm_score._tokenized(group).drop_columns("batch"), tmp_path / "batch=0" / "x.parquet")
+    row, h = lm_score.T.words(pa.array(texts), classes=lm_score.T.TOKENS)
+    monkeypatch.setattr(lm_score.T, "words", None)
+    state = lm_score._state(str(tmp_path), [], 0)
+    assert (state.h == h).all() and (state.text == row).all()
+    assert lm_score._asked(str(tmp_path), [], 1, 0).num_rows == 2
+    got = lm_score._scores(str(tmp_path), [], [], 0).to_pylist()
+    assert [(r["h1"], r["h2"], r["tokens"], r["phrases"], r["own"]) for r in got] == [(5, 1, 6, 6, 5), (6, 2, 0, 0, 0), (7, 3, 4, 4, 4), (8, 4, 1, 1, 1)]
+
+
 def test_scores_tell_text_from_noise(spark):
     dice = random.Random(2)
     sentences = ["the old man went to the sea", "a dog ran over the green hill", "rain fell on the quiet town"]
