@@ -155,3 +155,20 @@ def test_every_pair_up_to_the_threshold_is_linked(spark):
     for top in (None, 1, 6):
         got = {(min(r), max(r)) for r in map(tuple, simhash.near_edges(prints, top=top).collect())}
         assert got == {(2 * i, 2 * i + 1) for i in range(1200)}
+
+
+def test_meeting_by_chance_costs_little(monkeypatch):
+    """Of pairs of unlike rows that share a segment next to none get as far as chains, however many there are; and buckets of many groups lose no near pair."""
+    dice = np.random.default_rng(5)
+    half = dice.integers(0, 1 << simhash.HALF, (3000, 2 * simhash.SEGMENTS)).astype(np.uint16)
+    half[:, :2] = 7
+    half[1500:1600, 2:] = half[:100, 2:] ^ (dice.random((100, 30)) < 0.4)
+    rolls = []
+    monkeypatch.setattr(np, "roll", lambda a, *r, **k: rolls.append(len(a)) or a, raising=True)
+    assert not len(simhash.chained(half[200:1400], half[1700:2900])) and sum(rolls) < 100
+    monkeypatch.undo()
+    value = np.full(3000, 7)
+    d = np.bitwise_count(half[:, None, :] ^ half[None, :1600, :]).sum(axis=2)
+    near = {(i, j) for i, j in zip(*np.nonzero(d <= simhash.MOST), strict=True) if i != j}
+    got = simhash.linked(value, value == value, value, half, 17, simhash.MOST)
+    assert len(near) >= 200 and grouped(range(3000), zip(*map(np.ndarray.tolist, got), strict=True)) == grouped(range(3000), near)
