@@ -142,3 +142,22 @@ def test_parts_of_a_log_make_the_whole(spark):
                 break
             at += 6
         assert got == want
+
+
+def as_tables(folder, **frames):
+    for name, rows in frames.items():
+        pd.DataFrame(rows).to_parquet(f"{folder}/{name}.parquet")
+    c = duckdb.connect()
+    for name in frames:
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+    return c
+
+
+def test_context_lines_that_are_cut(spark, tmp_path):
+    """A hit is in the result of the query only where no neighbour is cut; the search itself tells."""
+    said = ["license\n" + "x" * n for n in (5, 1024, 1025)] + ["é" * 512 + "\nlicense", "é" * 513 + "\nlicense", "y" * 2000 + "\nfar\nlicense\n"]
+    c = as_tables(tmp_path, documents={"doc_id": range(6), "source": "s", "lang": "l", "text": said})
+    got, want = QUERIES["search_context"](spark, str(tmp_path)).toPandas(), c.execute(ORACLES["search_context"]).df()
+    assert rows(got) == rows(want) and len(got) == 4
+    files_ = spark.createDataFrame([(bytearray(t.encode()), 0o100644, "blob", "1", 9, bytearray(t.encode())) for t in said], "path binary, mode int, kind string, oid string, size long, data binary")
+    assert sorted(r["context_truncated"] for r in search.search(files_, "license", context_lines=1).collect()) == [False] * 4 + [True] * 2
