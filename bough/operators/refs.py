@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bough.functions import octets as O
 from bough.model import EngineError
+from bough.plans.stages import spill
 
 HOPS = 16
 
@@ -66,27 +67,31 @@ def overlay(loose: DataFrame, packed: DataFrame) -> DataFrame:
     return best.select("name", *(F.col("best")[c].alias(c) for c in rest))
 
 
-def peel(objects: DataFrame, start: DataFrame, tags: DataFrame, to: str = "commit", hops: int = HOPS) -> DataFrame:
+def peel(objects: DataFrame, start: DataFrame, tags: DataFrame, to: str = "commit", hops: int | None = HOPS) -> DataFrame:
     """(start, oid, kind, status) after following tags from ``start`` (oid): resolved, not_found, kind_mismatch (a tag claims another kind than its target has), too_deep or wrong_kind.
 
     objects is (oid, kind), tags (oid, target_oid, target_kind). Peeling to a tree or
-    blob ends at the first object that is no tag.
+    blob ends at the first object that is no tag. Without ``hops`` tags are followed to
+    the end, and only those that lead into a circle are too_deep. What isn't at its end
+    is written out hop by hop, so no hop is done again for the next.
     """
     kinds = objects.select(F.col("oid").alias("o"), F.col("kind").alias("k"))
     links = tags.select(F.col("oid").alias("t"), "target_oid", "target_kind")
-    now = start.select(F.col("oid").alias("start"), "oid", F.lit(None).cast("string").alias("claimed")).distinct()
+    now = start.select(F.col("oid").alias("start"), "oid", F.lit(None).cast("string").alias("claimed"), F.lit(None).cast(start.schema["oid"].dataType).alias("mark")).distinct()
     out = None
-    for hop in range(hops + 1):
+    hop = 0
+    while True:
         at = now.join(kinds, F.col("oid") == F.col("o"), "left").join(links, F.col("oid") == F.col("t"), "left")
-        status = F.when(F.col("o").isNull(), "not_found").when(F.col("claimed").isNotNull() & (F.col("claimed") != F.col("k")), "kind_mismatch").when(F.col("k") != "tag", F.when(F.col("k") == to, "resolved").otherwise("wrong_kind")).when(F.lit(hop == hops), "too_deep")
-        at = at.withColumn("status", status)
+        status = F.when(F.col("o").isNull(), "not_found").when(F.col("claimed").isNotNull() & (F.col("claimed") != F.col("k")), "kind_mismatch").when(F.col("k") != "tag", F.when(F.col("k") == to, "resolved").otherwise("wrong_kind")).when(F.col("oid") == F.col("mark") if hops is None else F.lit(hop == hops), "too_deep")
+        at = spill(at.withColumn("status", status))
         ended = at.where("status is not null").select("start", "oid", F.col("k").alias("kind"), "status")
         out = ended if out is None else out.unionByName(ended)
         going = at.where("status is null")
         if hop == hops or going.isEmpty():
             return out
-        now = going.select("start", F.col("target_oid").alias("oid"), F.col("target_kind").alias("claimed"))
-    return out
+        mark = "mark" if hop & (hop - 1) else "oid"  # of a circle one is met again that is passed at a power of two
+        now = going.select("start", F.col("target_oid").alias("oid"), F.col("target_kind").alias("claimed"), F.col(mark).alias("mark"))
+        hop += 1
 
 
 def selector(kind: str, value: str | None = None) -> tuple[str, str | bytes]:

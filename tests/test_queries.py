@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from bough.model import Limits
-from bough.operators import diff, files, graph, history, search
+from bough.operators import diff, files, graph, history, refs, search
 from bough.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -161,3 +161,16 @@ def test_context_lines_that_are_cut(spark, tmp_path):
     assert rows(got) == rows(want) and len(got) == 4
     files_ = spark.createDataFrame([(bytearray(t.encode()), 0o100644, "blob", "1", 9, bytearray(t.encode())) for t in said], "path binary, mode int, kind string, oid string, size long, data binary")
     assert sorted(r["context_truncated"] for r in search.search(files_, "license", context_lines=1).collect()) == [False] * 4 + [True] * 2
+
+
+def test_long_chains_of_tags(spark, tmp_path):
+    """Chains of more than 16 tags are followed to their end, as in the query's SQL; circles end."""
+    keys = [2**k for k in range(20)] + [3 * 2**k for k in range(19)] + [22, 11, 0]
+    c = as_tables(tmp_path, customer={"c_custkey": keys})
+    got, want = QUERIES["refs_peel"](spark, str(tmp_path)).toPandas(), c.execute(ORACLES["refs_peel"]).df()
+    assert rows(got) == rows(want) and (got["status"] == "resolved").sum() > 35
+    objects = spark.createDataFrame([(i, "tag") for i in range(1, 8)], "oid long, kind string")
+    tags = spark.createDataFrame([(i, i + 1 if i < 7 else 3, "tag") for i in range(1, 8)], "oid long, target_oid long, target_kind string")
+    got = refs.peel(objects, objects.select("oid"), tags, hops=None).collect()
+    assert sorted(r["start"] for r in got) == list(range(1, 8)) and {r["status"] for r in got} == {"too_deep"}
+    assert {(r["start"], r["oid"]) for r in refs.peel(objects, objects.select("oid").where("oid = 1"), tags, hops=2).collect()} == {(1, 3)}
