@@ -187,3 +187,10 @@ def test_zero_sided_hunks_and_missing_newlines():
 def test_similarity():
     a = b"".join(b"line %d\n" % i for i in range(20))
     assert linediff.similarity(a, a) == 1 and 0.9 < linediff.similarity(a, a.replace(b"line 3\n", b"line x\n")) < 1
+
+
+def test_lfs_reads_a_payload_once(spark):
+    """No part of the check is written out, and so computed, again where it is used."""
+    got = spark.createDataFrame([(bytearray(POINTER.encode()),)], "data binary").select(octets.lfs_pointer(F.col("data")).alias("p"))
+    assert got._jdf.queryExecution().analyzed().toString().count("is_valid_utf8") == 1
+    assert tuple(got.first().p) == ("a" * 64, 12)
