@@ -1,9 +1,10 @@
 """The commit graph: reachability, ancestry, merge bases, ordered logs.
 
-Edges are (child, parent, idx), idx counting a commit's parents from 0. Walks go
-level by level as joins, each level's commits written out. A graph of at most
-``LOCAL_EDGES`` edges is walked on the driver instead, where a level costs no job;
-the number is counted first. The exact order of a log comes out of a priority queue
+Edges are (child, parent, idx), idx counting a commit's parents from 0. A graph of at
+most ``LOCAL_EDGES`` edges is walked on the driver, where a level costs no job; the
+number is counted first. In a larger one a walk goes level by level: up to ``NAMED``
+commits are looked up by value, in scans that shuffle nothing; more are joined, and
+each level's commits are written out. The exact order of a log comes out of a priority queue
 and is sequential by nature: it is made on the driver, over the reachable commits
 alone, of which there may be ``max_objects``.
 """
@@ -20,6 +21,8 @@ from bough.model import EngineError, Limits
 from bough.plans.stages import spill
 
 LOCAL_EDGES = 1_000_000
+#: Commits of a level that are looked up by value, and those that are broadcast.
+NAMED, BROADCAST = 1_000, 500_000
 ORDERS = ("chronological", "topological", "date")
 
 
@@ -64,39 +67,113 @@ def _walk_local(edges: DataFrame, starts: list) -> set:
     return set(seen.tolist())
 
 
-def reachable(edges: DataFrame, starts: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(oid) of the starts (oid) and all their ancestors, each once."""
+def _climb(edges: DataFrame, starts: list, wanted: set | None = None) -> dict | None:
+    """Parents of the starts and of all their ancestors, looked up by value a level at a time, which shuffles nothing; None if they are too many for that. With ``wanted`` it ends when all of these are met."""
+    plain = lambda x: bytes(x) if isinstance(x, bytearray) else x
+    up: dict = {}
+    frontier = set(starts)
+    while frontier:
+        if len(frontier) > NAMED or len(up) > LOCAL_EDGES:
+            return None
+        up.update((x, []) for x in frontier)
+        if wanted is not None and wanted <= up.keys():
+            break
+        for r in edges.where(F.col("child").isin(*(bytearray(x) if isinstance(x, bytes) else x for x in frontier))).select("child", "parent").collect():
+            up[plain(r[0])].append(plain(r[1]))
+        frontier = {p for x in frontier for p in up[x]} - up.keys()
+    return up
+
+
+def _above(up: dict, start) -> set:
+    """The start and all its ancestors, by their parents."""
+    seen, todo = {start}, [start]
+    while todo:
+        more = [p for p in up[todo.pop()] if p not in seen]
+        seen.update(more)
+        todo += more
+    return seen
+
+
+def _spread(edges: DataFrame, starts: DataFrame, local_edges: int):
+    """Tables (oid) that together are the starts and all their ancestors, level by level; what one holds others may hold, too.
+
+    A large frontier's edges are taken out of the table of edges as it is joined, so
+    a commit is left once, and what is left of the edges shrinks; few are walked on
+    the driver. A small frontier is broadcast: neither edges nor what is known are
+    shuffled.
+    """
+    kind = edges.schema["parent"].dataType.simpleString()
+    rest, seen, frontier = edges.select("child", "parent"), starts, starts
+    split = False
+    while not frontier.isEmpty():
+        yield frontier
+        named = frontier.select(F.col("oid").alias("child"))
+        n = frontier.count()
+        if split and n <= local_edges and rest.count() <= local_edges:
+            first = [bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in frontier.collect()]
+            yield edges.sparkSession.createDataFrame([(x,) for x in _walk_local(rest, first)], f"oid {kind}")
+            return
+        if n > BROADCAST:
+            both = spill(rest.join(named.withColumn("hit", F.lit(True)), "child", "left"))
+            frontier = spill(both.where("hit").select(F.col("parent").alias("oid")).distinct())
+            rest, split = both.where("hit is null").select("child", "parent"), True
+        else:
+            up = spill(rest.join(F.broadcast(named), "child", "left_semi").select(F.col("parent").alias("oid")).distinct())
+            known = seen.join(F.broadcast(up), "oid", "left_semi") if up.count() <= BROADCAST else seen
+            frontier = spill(up.join(known.distinct(), "oid", "left_anti"))
+        seen = seen.unionByName(frontier)
+
+
+def reachable(edges: DataFrame, starts: DataFrame, local_edges: int = LOCAL_EDGES, among: DataFrame | None = None) -> DataFrame:
+    """(oid) of the starts (oid) and all their ancestors, each once. Where edges are a part of others that are cheaper to count, those are ``among``."""
+    return _reachable(edges, starts, local_edges, (edges if among is None else among).count() <= local_edges)
+
+
+def _reachable(edges: DataFrame, starts: DataFrame, local_edges: int, few: bool) -> DataFrame:
     kind = edges.schema["parent"].dataType
     starts = starts.select(F.col("oid").cast(kind).alias("oid")).distinct()
-    if edges.limit(local_edges + 1).count() <= local_edges:
-        first = [r[0] if not isinstance(r[0], bytearray) else bytes(r[0]) for r in starts.limit(local_edges + 1).collect()]
+    plain = lambda rows: [bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in rows]
+    table = lambda found: edges.sparkSession.createDataFrame([(x,) for x in sorted(found)], f"oid {kind.simpleString()}")
+    if few:
+        first = plain(starts.limit(local_edges + 1).collect())
         if len(first) <= local_edges:
-            found = _walk_local(edges, first)
-            return edges.sparkSession.createDataFrame([(x,) for x in sorted(found)], f"oid {kind.simpleString()}")
-    seen = frontier = spill(starts)
-    while not frontier.isEmpty():
-        up = edges.join(frontier.withColumnRenamed("oid", "child"), "child", "left_semi").select(F.col("parent").alias("oid")).distinct()
-        frontier = spill(up.join(seen, "oid", "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+            return table(_walk_local(edges, first))
+    starts = spill(starts)
+    first = plain(starts.limit(NAMED + 1).collect())
+    up = _climb(edges, first) if len(first) <= NAMED else None
+    if up is not None:
+        return table(up)
+    out = None
+    for level in _spread(edges, starts, local_edges):
+        out = level if out is None else out.unionByName(level)
+    return starts if out is None else out.distinct()
 
 
 def is_ancestor(edges: DataFrame, ancestor, descendant, local_edges: int = LOCAL_EDGES) -> bool:
     """Whether one commit is the other or among its ancestors; the walk ends when it is met."""
-    if ancestor == descendant:
-        return True
-    spark, kind = edges.sparkSession, edges.schema["parent"].dataType.simpleString()
-    start = spark.createDataFrame([(descendant,)], f"oid {kind}")
-    if edges.limit(local_edges + 1).count() <= local_edges:
-        return ancestor in _walk_local(edges, [descendant])
-    seen = frontier = spill(start)
-    while not frontier.isEmpty():
-        up = edges.join(frontier.withColumnRenamed("oid", "child"), "child", "left_semi").select(F.col("parent").alias("oid")).distinct()
-        frontier = spill(up.join(seen, "oid", "left_anti"))
-        if not frontier.where(F.col("oid") == F.lit(ancestor)).isEmpty():
-            return True
-        seen = seen.unionByName(frontier)
-    return False
+    return are_ancestors(edges, [(ancestor, descendant)], local_edges)[0]
+
+
+def are_ancestors(edges: DataFrame, pairs: list[tuple], local_edges: int = LOCAL_EDGES) -> list[bool]:
+    """is_ancestor of each pair (ancestor, descendant), by one walk a descendant."""
+    met: dict = {d: {d} for _, d in pairs}
+    few = None
+    for d, found in met.items():
+        wanted = {a for a, x in pairs if x == d} - found
+        if not wanted:
+            continue
+        few = edges.count() <= local_edges if few is None else few
+        up = _walk_local(edges, [d]) if few else _climb(edges, [d], wanted)
+        if up is not None:
+            found |= wanted & set(up)
+            continue
+        raw = [bytearray(x) if isinstance(x, bytes) else x for x in wanted]
+        start = edges.sparkSession.createDataFrame([(d,)], f"oid {edges.schema['parent'].dataType.simpleString()}")
+        for level in _spread(edges, spill(start), local_edges):
+            found.update(bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in level.where(F.col("oid").isin(*raw)).collect())
+            if wanted <= found:
+                break
+    return [a in met[d] for a, d in pairs]
 
 
 def merge_bases(edges: DataFrame, left, right, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -106,7 +183,13 @@ def merge_bases(edges: DataFrame, left, right, local_edges: int = LOCAL_EDGES) -
     of another: a single anti-join, no walk for each.
     """
     spark, kind = edges.sparkSession, edges.schema["parent"].dataType.simpleString()
-    a, b = (reachable(edges, spark.createDataFrame([(x,)], f"oid {kind}"), local_edges) for x in (left, right))
+    few = edges.count() <= local_edges
+    up = None if few else _climb(edges, [left, right])
+    if up is not None:
+        common = _above(up, left) & _above(up, right)
+        best = sorted(common - {p for x in common for p in up[x]}, reverse=True)
+        return spark.createDataFrame([(x, i) for i, x in enumerate(best, 1)], f"oid {kind}, ordinal int")
+    a, b = (_reachable(edges, spark.createDataFrame([(x,)], f"oid {kind}"), local_edges, few) for x in (left, right))
     common = spill(a.join(b, "oid", "left_semi"))
     parents = edges.join(common.withColumnRenamed("oid", "child"), "child", "left_semi").select(F.col("parent").alias("oid"))
     best = common.join(parents, "oid", "left_anti")
@@ -199,10 +282,10 @@ def _log(commits: DataFrame, edges: DataFrame, start, time: str, how: str, first
         raise EngineError("invalid_argument", f"unknown order {how!r}")
     most = (limits or Limits()).max_objects
     spark, kind = edges.sparkSession, edges.schema["parent"].dataType.simpleString()
-    edges = first_parents(edges) if first_parent else edges
+    edges = every = first_parents(edges) if first_parent else edges
     if since_ is not None:
         edges = since(edges, commits, time, since_)
-    reach = spill(reachable(edges, spark.createDataFrame([(start,)], f"oid {kind}")))
+    reach = spill(reachable(edges, spark.createDataFrame([(start,)], f"oid {kind}"), among=every))
     if reach.limit(most + 1).count() > most:
         if at is None:
             raise EngineError("budget_exceeded", "the walk reaches more commits than max_objects")

@@ -174,3 +174,42 @@ def test_long_chains_of_tags(spark, tmp_path):
     got = refs.peel(objects, objects.select("oid"), tags, hops=None).collect()
     assert sorted(r["start"] for r in got) == list(range(1, 8)) and {r["status"] for r in got} == {"too_deep"}
     assert {(r["start"], r["oid"]) for r in refs.peel(objects, objects.select("oid").where("oid = 1"), tags, hops=2).collect()} == {(1, 3)}
+
+
+@pytest.mark.parametrize(("named", "broadcast", "local"), [(0, 0, 0), (0, 2, 12), (0, 10**6, 0), (10**6, 0, 0)])
+def test_walks_of_every_kind(spark, monkeypatch, named, broadcast, local):
+    """Lookups by value, broadcast frontiers, edges that are taken out as they are joined, and the rest on the driver reach the same commits."""
+    monkeypatch.setattr(graph, "NAMED", named)
+    monkeypatch.setattr(graph, "BROADCAST", broadcast)
+    edges = dag(4, 20)
+    df = spark.createDataFrame([*edges, (1000, 1001, 0), (1001, 1000, 0)], "child long, parent long, idx int").coalesce(2)  # and a circle
+    first = [19, 18, 17, 1000]
+    got = [r[0] for r in graph.reachable(df, spark.createDataFrame([(x,) for x in first], "oid long"), local).collect()]
+    assert len(got) == len(set(got)) and set(got) == set().union(*(up(edges, x) for x in first[:3]), first[3:], {1001})
+    pairs = [(5, 19), (19, 19), (7, 19)]
+    assert graph.are_ancestors(df, pairs, local) == [a in up(edges, d) for a, d in pairs]
+    both = up(edges, 19) & up(edges, 18)
+    best = sorted((x for x in both if not any(x != y and x in up(edges, y) for y in both)), reverse=True)
+    assert [r[0] for r in graph.merge_bases(df, 19, 18, local).orderBy("ordinal").collect()] == best
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of run() shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(x.shuffleWriteBytes() for x in (s.apply(i) for s in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for i in range(s.size())))
+    before = total()
+    run()
+    return total() - before
+
+
+def test_walks_of_large_graphs_shuffle_little(spark, monkeypatch):
+    """A walk from a few commits shuffles no edges; one from all tips about as much as there are edges, however many levels there are."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    k = spark.range(1, 200_000).selectExpr("id as child")
+    edges = k.selectExpr("child", "child div 2 as parent", "0 as idx")
+    commits = spark.range(0, 200_000).selectExpr("id as oid", "id as t")
+    assert shuffled(spark, lambda: graph.merge_bases(edges, 199_999, 199_995, 0).collect()) < 10_000
+    assert shuffled(spark, lambda: graph.are_ancestors(edges, [(3, 199_999), (0, 150_000)], 0)) < 10_000
+    assert shuffled(spark, lambda: graph.reachable(edges, commits.where("oid > 190000"), 0).count()) < 4_000_000
+    (got,) = [r for r in graph.log(commits, edges, 199_999, "t", since_=20, until=700).collect() if r["ordinal"] == 0]
+    assert got["oid"] == 199_999 >> 9
