@@ -9,7 +9,9 @@ an equi-join on those, and only candidates are scored.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from bough.model import EngineError
 from bough.plans.stages import spill
 
 SIMILAR = 0.5
+#: Pairs of a group that one task goes through.
+GROUP = 4_000_000
 FORMATS = ("summary", "stats", "patch")
 
 
@@ -57,26 +61,59 @@ def _prefixes(side: DataFrame) -> DataFrame:
 
 def similar(deleted: DataFrame, added: DataFrame) -> DataFrame:
     """(old_path, new_path, similarity) of all pairs (path, data) alike in half of their bytes; empty ones have no partner."""
-    a = deleted.where("octet_length(data) > 0").select(F.lit("a").alias("side"), F.col("path").alias("id"), "data")
-    b = added.where("octet_length(data) > 0").select(F.lit("b").alias("side"), F.col("path").alias("id"), "data")
-    keys = spill(_prefixes(a.unionByName(b)))
-    left = keys.where("side = 'a'").select("key", F.col("id").alias("old_path"))
-    right = keys.where("side = 'b'").select("key", F.col("id").alias("new_path"))
-    candidates = left.join(right, "key").select("old_path", "new_path").distinct()
-    with_data = candidates.join(a.select(F.col("id").alias("old_path"), F.col("data").alias("old")), "old_path").join(b.select(F.col("id").alias("new_path"), F.col("data").alias("new")), "new_path")
+    named = lambda df, side: df.where("octet_length(data) > 0").select(F.lit(side).alias("side"), "path", F.sha1("data").alias("id"), "data")
+    a, b = named(deleted, "a"), named(added, "b")
+    # copies of one text are compared once
+    ones = lambda df: df.select("side", "id", "data").dropDuplicates(["id"])
+    keys = spill(_prefixes(ones(a).unionByName(ones(b))))
+    left = keys.where("side = 'a'").select("key", F.col("id").alias("old_id"))
+    right = keys.where("side = 'b'").select("key", F.col("id").alias("new_id"))
+    candidates = left.join(right, "key").select("old_id", "new_id").distinct()
+    with_data = candidates.join(ones(a).select(F.col("id").alias("old_id"), F.col("data").alias("old")), "old_id").join(ones(b).select(F.col("id").alias("new_id"), F.col("data").alias("new")), "new_id")
     near = with_data.where("least(octet_length(old), octet_length(new)) >= 0.5 * greatest(octet_length(old), octet_length(new))")
 
     def score(batches):
         for batch in batches:
             s = [int(100 * linediff.similarity(x, y)) for x, y in zip(batch.column("old").to_pylist(), batch.column("new").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("old_path"), batch.column("new_path"), pa.array(s, pa.int32())], ["old_path", "new_path", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column("old_id"), batch.column("new_id"), pa.array(s, pa.int32())], ["old_id", "new_id", "similarity"])
 
-    return near.select("old_path", "new_path", "old", "new").mapInArrow(score, "old_path binary, new_path binary, similarity int").where(F.col("similarity") >= int(100 * SIMILAR))
+    scored = near.select("old_id", "new_id", "old", "new").mapInArrow(score, "old_id string, new_id string, similarity int").where(F.col("similarity") >= int(100 * SIMILAR))
+    return scored.join(a.select(F.col("id").alias("old_id"), F.col("path").alias("old_path")), "old_id").join(b.select(F.col("id").alias("new_id"), F.col("path").alias("new_path")), "new_id").select("old_path", "new_path", "similarity")
 
 
 def assign(pairs: DataFrame) -> DataFrame:
-    """The greedy one-to-one choice, most similar first, ties by path: pairs that are best for both of their sides are taken, round by round."""
-    left = spill(pairs)
+    """The greedy one-to-one choice, most similar first, ties by path.
+
+    Pairs that hang together are in one group, and groups don't touch each other: each is
+    gone through in one task. Of groups of more than ``GROUP`` pairs those are taken that
+    are best for both of their sides, round by round.
+    """
+    linked = spill(pairs.select("old_path", "new_path", "similarity", F.col("old_path").alias("least"), F.lit(True).alias("changed")))
+    while not linked.where("changed").isEmpty():
+        over = lambda c, *by: F.min(c).over(Window.partitionBy(*by))
+        lower = linked.withColumn("now", over("least", "new_path")).withColumn("now", over("now", "old_path"))
+        linked = spill(lower.select("old_path", "new_path", "similarity", F.col("now").alias("least"), (F.col("now") < F.col("least")).alias("changed")))
+    large = linked.groupBy("least").count().where(F.col("count") > GROUP).select("least")
+    rows = linked.drop("changed")
+    taken = rows.join(large, "least", "left_anti").groupBy("least").applyInArrow(_greedy, "old_path binary, new_path binary, similarity int")
+    rest = spill(rows.join(large, "least", "left_semi").drop("least"))
+    return spill(taken) if rest.isEmpty() else spill(taken).unionByName(_rounds(rest))
+
+
+def _greedy(group: pa.Table) -> pa.Table:
+    ranks = [pc.rank(group[c].cast(pa.large_binary()), tiebreaker="dense").to_numpy() for c in ("old_path", "new_path")]
+    order = np.lexsort((ranks[1], ranks[0], -group["similarity"].to_numpy()))
+    free = [bytearray(b"\1") * (int(r.max()) + 1) for r in ranks]
+    out = []
+    for i, a, b in zip(order.tolist(), ranks[0][order].tolist(), ranks[1][order].tolist(), strict=True):
+        if free[0][a] and free[1][b]:
+            free[0][a] = free[1][b] = 0
+            out.append(i)
+    return group.select(["old_path", "new_path", "similarity"]).take(pa.array(out, pa.int64()))
+
+
+def _rounds(left: DataFrame) -> DataFrame:
+    """The same choice by rounds."""
     taken = left.limit(0)
     order = [F.desc("similarity"), "old_path", "new_path"]
     while not left.isEmpty():

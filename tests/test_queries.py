@@ -213,3 +213,27 @@ def test_walks_of_large_graphs_shuffle_little(spark, monkeypatch):
     assert shuffled(spark, lambda: graph.reachable(edges, commits.where("oid > 190000"), 0).count()) < 4_000_000
     (got,) = [r for r in graph.log(commits, edges, 199_999, "t", since_=20, until=700).collect() if r["ordinal"] == 0]
     assert got["oid"] == 199_999 >> 9
+
+
+def test_many_alike_are_assigned_in_few_rounds(spark, monkeypatch):
+    """Copies of one text and of its like are compared once, and how many they are adds no rounds; groups too large for a task give the same."""
+    from bough.functions import linediff
+
+    t = lambda rows: spark.createDataFrame([(bytearray(p), bytearray(d)) for p, d in rows], "path binary, data binary").coalesce(1)
+    text = b"".join(b"line %d of a text\n" % i for i in range(9))
+    a = [(b"a%03d" % i, text + b"more\n" * (i % 2)) for i in range(40)]
+    b = [(b"b%03d" % (i * 7 % 30), text + b"appended\n" * (1 + i % 2)) for i in range(30)]
+    pairs = diff.similar(t(a), t(b))
+    want, olds, news = {}, set(), set()
+    for s, p, q in sorted((-int(100 * linediff.similarity(x, y)), p, q) for p, x in a for q, y in b):
+        if p not in olds and q not in news:
+            want[p] = q
+            olds.add(p)
+            news.add(q)
+    written = []
+    real = diff.spill
+    monkeypatch.setattr(diff, "spill", lambda df: written.append(1) or real(df))
+    assert pairs.count() == 1200
+    assert {bytes(r[0]): bytes(r[1]) for r in diff.assign(pairs).collect()} == want and len(written) < 10
+    monkeypatch.setattr(diff, "GROUP", 100)
+    assert {bytes(r[0]): bytes(r[1]) for r in diff.assign(pairs).collect()} == want
